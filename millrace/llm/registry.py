@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import idfiles, packing
+from millrace.llm import chat, decontaminate, idfiles, packing
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_token_files": idfiles.op3_token_files,
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op7_chat_formatting": chat.op7_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -62,6 +62,19 @@ def _span_hashes(values: np.ndarray, base: int, first: np.ndarray, last: np.ndar
     return mix((prefix[last] - prefix[first]) * inverse[first] + (last - first).astype(np.uint64))
 
 
+def prefix_sums(hashes: np.ndarray) -> np.ndarray:
+    prefix = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * powers(_WORD_BASE, len(hashes)), out=prefix[1:])
+    return prefix
+
+
+def span_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the words first..last of every span."""
+    prefix = prefix_sums(hashes) if prefix is None else prefix
+    inverse = powers(pow(_WORD_BASE, -1, 1 << 64), len(hashes) + 1)
+    return mix((prefix[last] - prefix[first]) * inverse[first] + (last - first).astype(np.uint64))
+
+
 @dataclass
 class Words:
     """Words of a batch: hashes, the first word of each text (one more entry at the end), byte spans."""
