@@ -19,8 +19,10 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of each of the two caches of a worker process, and characters of the longest part kept.
-CACHE_WORDS = 500_000
+#: Entries of a worker process's two caches, of parts and of words in them (about 200 bytes each),
+#: and characters of the longest part kept.
+CACHE_PARTS = 150_000
+CACHE_WORDS = 400_000
 CACHE_CHARS = 48
 
 _SPACE_THEN_SPACE = re.compile(r" (?!\S)")
@@ -150,7 +152,7 @@ class Encoder:
             some = missing[at : at + 20_000]
             for i, ids in zip(some, self._parts([parts[i] for i in some]), strict=True):
                 out[i] = ids
-                if len(self.cache) < self.cache_words and len(parts[i]) <= CACHE_CHARS:
+                if len(self.cache) < CACHE_PARTS and len(parts[i]) <= CACHE_CHARS:
                     self.cache[parts[i]] = ids
         return out
 
@@ -163,6 +165,7 @@ class Encoder:
         finally:
             if collecting:
                 gc.enable()
+            pa.default_memory_pool().release_unused()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         if self.kind == "whole":
