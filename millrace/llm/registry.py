@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, idfiles, packing
+from millrace.llm import chat, decontaminate, idfiles, packing, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_token_files": idfiles.op3_token_files,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op10_exact_topk": topk.op10_exact_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_topk": topk.ORACLE,
+}
