@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, idfiles, packing, topk
+from millrace.llm import chat, decontaminate, idfiles, jaccard, packing, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_token_files": idfiles.op3_token_files,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 

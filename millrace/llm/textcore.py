@@ -135,6 +135,15 @@ def text_hashes(w: Words) -> np.ndarray:
     return _span_hashes(w.hashes, _WORD_BASE, w.offsets[:-1], w.offsets[1:])
 
 
+def shuffle(x: np.ndarray, factor: np.uint64, term: np.uint64) -> np.ndarray:
+    """One of a family of hash functions on 64-bit integers whose high bits are well mixed."""
+    y = x * factor
+    y += term
+    y ^= y >> _U(32)
+    y *= factor
+    return y
+
+
 def batches(texts: list[str | None], most: int = 4_000_000):
     """Ranges of texts of about `most` characters each; a longer text is alone in its range."""
     begin, held = 0, 0
