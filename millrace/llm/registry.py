@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, idfiles, jaccard, packing, topk
+from millrace.llm import chat, decontaminate, idfiles, jaccard, licenses, packing, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_license_scans": licenses.op2_license_scans,
     "op3_token_files": idfiles.op3_token_files,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op7_chat_formatting": chat.op7_chat_formatting,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scans": licenses.oracle(),
     "op10_exact_topk": topk.ORACLE,
 }
