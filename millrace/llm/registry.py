@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, idfiles, jaccard, licenses, packing, topk
+from millrace.llm import chat, decontaminate, idfiles, jaccard, licenses, packing, topk, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5_decontamination,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 

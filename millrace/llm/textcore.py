@@ -84,6 +84,7 @@ class Words:
     first: np.ndarray
     last: np.ndarray
     data: np.ndarray
+    prefix: np.ndarray
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -95,6 +96,16 @@ class Words:
         return self.data[self.first[i] : self.last[i]].tobytes()
 
 
+def _between(prefix: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    inverse = powers(pow(_BASE, -1, 1 << 64), len(prefix))
+    return mix((prefix[last] - prefix[first]) * inverse[first] + (last - first).astype(np.uint64))
+
+
+def byte_spans(w: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of the lower-cased bytes first..last of every span of the batch."""
+    return _between(w.prefix, first, last)
+
+
 def words(texts: list[str | None]) -> Words:
     """Words of each text; None and texts without word characters have none."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -105,10 +116,12 @@ def words(texts: list[str | None]) -> Words:
     if inside[0]:
         edge = np.concatenate(([0], edge))
     first, last = edge[0::2], edge[1::2]
-    hashes = _span_hashes(_LETTER[data], _BASE, first, last)
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_LETTER[data] * powers(_BASE, len(data)), out=prefix[1:])
+    hashes = _between(prefix, first, last)
     ends = np.cumsum(sizes)
     offsets = np.concatenate(([0], np.searchsorted(first, ends))).astype(np.int64)
-    return Words(hashes, offsets, first, last, data)
+    return Words(hashes, offsets, first, last, data, prefix)
 
 
 def ngrams(w: Words, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
