@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, idfiles, jaccard, licenses, packing, quality, topk, toxicity
+from millrace.llm import chat, decontaminate, extract, idfiles, jaccard, licenses, packing, quality, topk, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_html_extraction": extract.op9_html_extraction,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
