@@ -6,11 +6,10 @@ import re
 import sys
 from typing import TextIO
 
-from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from millrace.engine import Engine, TableInfo
-from millrace.errors import EngineError
+from millrace.errors import SPARK_ERRORS, EngineError
 from millrace.sinks.render import FORMATS
 
 USAGE = "usage: python -m millrace [file.csv] [--sql STATEMENT] [--output-format markdown|csv]"
@@ -76,7 +75,7 @@ class Prompt:
             return True
         try:
             action(line)
-        except (EngineError, PySparkException) as e:
+        except (EngineError, *SPARK_ERRORS) as e:
             self.say(f"Error: {e}")
         return True
 
@@ -132,7 +131,7 @@ def main(argv: list[str], stdin: TextIO = sys.stdin, out: TextIO = sys.stdout, e
         if sql is not None:
             FORMATS[form](engine.sql(sql), out)
             return 0
-    except (EngineError, PySparkException) as e:
+    except (EngineError, *SPARK_ERRORS) as e:
         err.write(f"Error: {e}\n")
         return 1
     if file is not None:

@@ -1,5 +1,11 @@
 """Errors that a user of the engine can cause."""
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+
+#: What Spark raises, by itself or for a failed job.
+SPARK_ERRORS = (PySparkException, Py4JError)
+
 
 class EngineError(Exception):
     """Anything that the engine refuses."""

@@ -11,12 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.errors import DataProblem
+from millrace.errors import SPARK_ERRORS, DataProblem
 from millrace.functions.typed import DATE
 from millrace.operators.relational import quoted
 
@@ -29,7 +28,7 @@ _INT_LIMIT = 9.223372036854775e18
 def load_csv(spark: SparkSession, path: str, quote: str = "") -> DataFrame:
     try:
         head = spark.read.text(path).filter(F.length("value") > 0).limit(1).collect()
-    except PySparkException as e:
+    except SPARK_ERRORS as e:
         raise DataProblem(f"cannot open file: {path}") from e
     return _typed(spark, path, head[0][0] if head else "", quote, path)
 
@@ -58,7 +57,7 @@ def _kinds(raw: DataFrame, shown: str) -> list[str]:
     measures = [F.min(test(quoted(c))).alias(f"{c}_{kind}") for c in raw.columns for kind, test in tests.items()]
     try:
         row = raw.agg(*measures).first()
-    except PySparkException as e:
+    except SPARK_ERRORS as e:
         if "MALFORMED" in str(e).upper():
             raise DataProblem(f"row size mismatch in {shown}") from e
         raise
@@ -85,5 +84,5 @@ def _cast(c: Column, kind: str) -> Column:
 def load_parquet(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
-    except PySparkException as e:
+    except SPARK_ERRORS as e:
         raise DataProblem(f"cannot open file: {path}") from e
