@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from millrace.llm import linear, tables, textcore
 
 #: Labelled rows that the scorer is fitted on, at most.
-SAMPLE = 16_000
+SAMPLE = 12_000
 BUCKETS = 1 << 21
 FEATURES = 3000
 #: Bytes of word starts that are features beside whole words.
@@ -226,19 +226,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("target", "text").mapInArrow(run, "target double, buckets binary").limit(4 * sample).collect()
     target = np.array([r["target"] for r in rows])
-    each = [np.frombuffer(r["buckets"], "<u4").astype(np.int64) for r in rows]
-    if not len(rows) or target.min() == target.max():
-        return lm, np.zeros(0, np.int64), np.zeros(0), float(np.log(0.05 / 0.95)) if not len(rows) else float(np.log((target.mean() + 0.01) / (1.01 - target.mean())))
-    row, bucket = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each)
-    n = np.bincount(bucket, minlength=BUCKETS)
-    toxic = np.bincount(bucket, weights=target[row], minlength=BUCKETS)
+    each = [np.frombuffer(r["buckets"], "<u4") for r in rows]
+    del rows
+    if not len(target) or target.min() == target.max():
+        return lm, np.zeros(0, np.int64), np.zeros(0), float(np.log(0.05 / 0.95)) if not len(target) else float(np.log((target.mean() + 0.01) / (1.01 - target.mean())))
+    n, toxic = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    for x, y in zip(each, target, strict=True):  # a row's buckets are distinct
+        n[x] += 1
+        toxic[x] += y
     rate = target.mean()
     strength = np.where(n >= 3, (toxic - n * rate) ** 2 / np.maximum(n * rate * (1 - rate), 1e-9), 0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    own = place[bucket] >= 0
-    w, b = linear.fit_logistic(row[own], place[bucket[own]], np.ones(own.sum()), target, len(chosen), l2=2e-5, steps=500)
+    cols = [c[c >= 0] for c in (place[x] for x in each)]
+    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+    cols = np.concatenate(cols)
+    w, b = linear.fit_logistic(row, cols, np.ones(len(cols)), target, len(chosen), l2=2e-5, steps=500)
     return lm, chosen, w, b
 
 
