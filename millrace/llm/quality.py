@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm import linear, tables, textcore
 
 #: Documents that the scorer is fitted on, at most.
-SAMPLE = 16_000
+SAMPLE = 8_000
 WIDTH = 1 << 12
 #: A labeller calls at most this share of good documents bad, and at least that of its own class.
 MOST_WRONG, LEAST_RIGHT = 0.01, 0.7
