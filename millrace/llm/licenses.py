@@ -105,13 +105,11 @@ def known_digests(spark: SparkSession) -> DataFrame:
 def findings(docs: DataFrame) -> DataFrame:
     """doc_id, license_id, unit ('text' or 'line'), n_units: units with that licence's digest."""
     longest = max(len(t) for _, t in KNOWN)
-    text = F.col("text")
-    # A unit of many times a known text's length is no licence, but only its canonical form may be
-    # measured: lines that state a copyright can be of any length. So all units are normalised.
-    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(F.lit("line").alias("unit"), x.alias("t")))
-    whole = F.array(F.struct(F.lit("text").alias("unit"), text.alias("t")))
-    units = docs.filter(text.isNotNull()).select("doc_id", F.explode(F.concat(whole, lines)).alias("u"))
-    normal = units.select("doc_id", "u.unit", canonical(F.col("u.t")).alias("c")).filter((F.length("c") > 0) & (F.length("c") <= longest))
+    lines = F.transform(F.split("text", "\n"), canonical)
+    made = docs.filter(F.col("text").isNotNull()).select("doc_id", F.filter(lines, lambda c: c != "").alias("lines"))
+    # No rule of the canonical form reaches over a line break, so a text's is that of its lines.
+    units = F.concat(F.array(F.struct(F.lit("text").alias("unit"), F.array_join("lines", " ").alias("c"))), F.transform("lines", lambda c: F.struct(F.lit("line").alias("unit"), c.alias("c"))))
+    normal = made.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.unit", "u.c").filter((F.length("c") > 0) & (F.length("c") <= longest))
     digests = normal.select("doc_id", "unit", F.sha2("c", 256).alias("digest"))
     hits = digests.join(F.broadcast(known_digests(docs.sparkSession)), "digest")
     return hits.groupBy("doc_id", "license_id", "unit").agg(F.count(F.lit(1)).alias("n_units"))
