@@ -205,8 +205,8 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without any benchmark window, with their own columns."""
-    marked = mark(docs, benchmark, window)
-    return marked.filter(F.size("hit_spans") == 0).select(*docs.columns)
+    marked = mark(tables.wrapped(docs), benchmark, window)
+    return tables.unwrapped(marked.filter(F.size("hit_spans") == 0), docs.columns)
 
 
 def digest(item_ids: list[str]) -> str:

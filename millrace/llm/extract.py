@@ -189,9 +189,9 @@ def default_model() -> Model:
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
-    """All columns of pages (with `html`), html replaced by `text`."""
+    """All columns of pages, `html` replaced by `text` (as is a text column, if there is one)."""
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
-    kept = [c for c in pages.columns if c != "html"]
+    kept = [c for c in pages.columns if c not in ("html", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value

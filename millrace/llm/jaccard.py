@@ -199,10 +199,10 @@ def keep_one(docs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataF
     made = classes(docs, k, threshold)
     first = made.filter("not wordless").groupBy("class_id").agg(F.min(F.struct("rid", "tid")).alias("f")).select(F.col("f.rid").alias("_rid"), F.col("f.tid").alias("_tid"))
     bare = made.filter("wordless").select(F.col("rid").alias("_rid"), F.col("tid").alias("_tid"))
-    keyed = _keyed(docs)
+    keyed = _keyed(tables.wrapped(docs))
     kept = keyed.join(first, ["_rid", "_tid"], "left_semi").dropDuplicates(["_rid", "_tid"])
     plain = keyed.join(bare.distinct(), ["_rid", "_tid"], "left_semi")
-    return kept.unionByName(plain).select(*docs.columns)
+    return tables.unwrapped(kept.unionByName(plain), docs.columns)
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

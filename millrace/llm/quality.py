@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Documents of a score of 0.5 or more."""
-    return score(docs, train(docs)).filter("_score >= 0.5").select(*docs.columns)
+    return tables.unwrapped(score(tables.wrapped(docs), train(docs)).filter("_score >= 0.5"), docs.columns)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

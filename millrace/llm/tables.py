@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +55,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one struct, so that no name can clash."""
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in other)).alias("rest") if other else F.struct(F.lit(0).alias("none")).alias("rest"))
+
+
+def unwrapped(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The inverse of wrapped(), with `columns` in their order."""
+    return docs.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -275,7 +275,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents of a score under 0.5."""
-    return score_documents(docs, labels).filter("_score < 0.5").select(*docs.columns)
+    return tables.unwrapped(score_documents(tables.wrapped(docs), labels).filter("_score < 0.5"), docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
