@@ -1,6 +1,6 @@
 """Licence texts and notices in documents, by digests of a canonical form.
 
-Canonical form: lower case; lines that only state a copyright are dropped; equivalent spellings
+Canonical form: lower case; lines that state whose copyright it is are dropped; equivalent spellings
 become one; every run of other characters than a-z and 0-9 becomes one space. A unit, that is a
 document's whole text or one of its lines, is a finding when the digest of its canonical form is
 that of a known text. Everything is a DataFrame expression; the only join is with the table of
@@ -87,7 +87,7 @@ SPELLINGS = [
     (r"\bv(\.|ersion)? ?([0-9])", "version $2"),
 ]
 
-_COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright\b|\(c\)|©)[^\n]*"
+_COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\)|©|[0-9])|\(c\)[^a-z0-9\n]*[a-z0-9]|©)[^\n]*"
 
 
 def canonical(text: Column) -> Column:
