@@ -33,7 +33,7 @@ from millrace.llm import tables
 BLOCK = 4096
 QUERY_BLOCK = 2048
 SLOTS = 8
-LEAF = 48
+LEAF = 32
 #: A child's covering radius as a part of its parent's.
 SHRINK = 0.75
 
@@ -81,7 +81,7 @@ class CoverTree:
             self.order[at:last] = np.concatenate((own[near], own[~near]))
             parts.append((at, at + int(near.sum())))
             at = parts[-1][1]
-            if len(parts) >= 8 and (at - first) < len(parts) * LEAF // 8:
+            if len(parts) >= 8 and (at - first) < 2 * len(parts):
                 return []
         return parts if len(parts) > 1 else []
 
