@@ -3,7 +3,7 @@
 A round replaces each edge by edges to the least neighbour, first for larger neighbours, then for
 smaller ones, until the edges are stars around the least node of each component. The rounds are
 logarithmic in the longest path. A hub's edges are never gathered: its least neighbour is a
-partial aggregation, and the join that brings it back can be split by adaptive execution.
+partial aggregation, and the join that brings it back is salted by the other end of the edge.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import tables
 
+#: Parts that the edges of each node are dealt to.
+SALTS = 16
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns node, root for every node that isn't its component's least."""
@@ -21,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        salted = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        large = both.filter("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = tables.saved(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), "edges")
