@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, on documents."""
     docs = tables.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = tables.saved(stage(spark, docs, sf_dir), name)
+        last, docs = docs, tables.saved(stage(spark, docs, sf_dir), name)
+        tables.done_with(last)
     return STAGES[-1][1](spark, docs, sf_dir)

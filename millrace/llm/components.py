@@ -28,8 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = tables.saved(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), "edges")
+        last, now = now, tables.saved(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), "edges")
         before, state = state, _state(now)
+        tables.done_with(last)
         if state == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

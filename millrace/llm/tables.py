@@ -71,7 +71,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def done_with(df: DataFrame) -> None:
+    """Removes a table that saved() wrote, once nothing reads it any more."""
+    if path := getattr(df, "_millrace_path", None):
+        remove(df.sparkSession, path)
 
 
 def wrapped(docs: DataFrame) -> DataFrame:
