@@ -7,7 +7,7 @@ language has none. Sums of doubles depend on the order of additions and are roun
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from millrace.engine import Engine
 from millrace.functions.typed import yyyymmdd
 from millrace.operators.relational import quoted
+from millrace.sql.grammar import parse
 
 
 class Query(NamedTuple):
@@ -126,9 +127,10 @@ CATALOGUE: dict[str, Query] = {
 }
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
+def engine(spark: SparkSession, sf_dir: str, names: Iterable[str] = TABLES) -> Engine:
+    """An engine with the named tables; each costs a look at its files' schema."""
     out = Engine(spark)
-    for name in TABLES:
+    for name in names:
         frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         if name in DATES:
             source, day = DATES[name]
@@ -140,8 +142,11 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
 
 
 def _run(query: Query) -> Callable[[SparkSession, str], DataFrame]:
+    parsed = parse(query.sql)
+    names = {parsed.table.name, *(j.table.name for j in parsed.joins)}
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = engine(spark, sf_dir).sql(query.sql)
+        out = engine(spark, sf_dir, names).sql(query.sql)
         return out.select(*(F.round(quoted(c), 2).alias(c) if c in query.rounded else quoted(c) for c in out.columns))
 
     return run
