@@ -31,6 +31,9 @@ from millrace.llm import linear, tables, textcore
 SAMPLE = 12_000
 BUCKETS = 1 << 21
 FEATURES = 3000
+#: Least chi-square of a feature's association with the label; among two million buckets chance
+#: alone hardly reaches it.
+LEAST_STRENGTH = 45.0
 #: Bytes of word starts that are features beside whole words.
 STARTS = (4, 5, 6, 7, 8)
 
@@ -53,7 +56,9 @@ _SUSPECT = re.compile(
 )
 _HAS = re.compile(rf"[{re.escape(_SIGNS)}]+{_L}|{_L}[0-9]+(?!\w)|({_L})\1\1|{_L}[ .\-_*]", re.IGNORECASE)
 
-_KEEP, _LEET, _DROP, _REPEAT = 0.0, -1.0, -0.2, -0.5
+_KEEP, _LEET, _REPEAT = 0.0, -1.0, -0.5
+# A gap between single letters joins them, unless the language model much prefers two words.
+_DROP, _GAP_STAYS = 0.0, -3.0
 _STAY = -7.0
 
 
@@ -105,7 +110,7 @@ class Restorer:
             if c in LEET:
                 out.append([(x, _LEET) for x in LEET[c]] + [(" ", _STAY)])
             elif c in " .-_*":
-                out.append([("", _DROP), (" ", _KEEP)])
+                out.append([("", _DROP), (" ", _GAP_STAYS)])
             else:
                 run = i
                 while run < len(low) and low[run] == c:
@@ -225,9 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
                 yield pa.RecordBatch.from_arrays([batch.column("target").slice(a, b - a), pa.array([bucket[i:j].astype("<u4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["target", "buckets"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("target", "text").mapInArrow(run, "target double, buckets binary").limit(4 * sample).collect()
+    rows = list({r["buckets"]: r for r in rows}.values())  # copies are one example
     target = np.array([r["target"] for r in rows])
     each = [np.frombuffer(r["buckets"], "<u4") for r in rows]
-    del rows
     if not len(target) or target.min() == target.max():
         return lm, np.zeros(0, np.int64), np.zeros(0), float(np.log(0.05 / 0.95)) if not len(target) else float(np.log((target.mean() + 0.01) / (1.01 - target.mean())))
     n, toxic = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
@@ -236,13 +241,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         toxic[x] += y
     rate = target.mean()
     strength = np.where(n >= 3, (toxic - n * rate) ** 2 / np.maximum(n * rate * (1 - rate), 1e-9), 0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
+    chosen = np.sort([i for i in np.argsort(-strength, kind="stable")[:FEATURES] if strength[i] >= LEAST_STRENGTH])
+    if not len(chosen):
+        return lm, np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate)))
     place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     cols = [c[c >= 0] for c in (place[x] for x in each)]
     row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     cols = np.concatenate(cols)
-    w, b = linear.fit_logistic(row, cols, np.ones(len(cols)), target, len(chosen), l2=2e-5, steps=500)
+    w, b = linear.fit_logistic(row, cols, np.ones(len(cols)), target, len(chosen), l2=2e-6, steps=1500)
     return lm, chosen, w, b
 
 
