@@ -37,7 +37,8 @@ def crc32(ids: bytes) -> int:
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = SEQUENCE, payload: Callable[[bytes], object] | None = None, payload_type: str = "binary") -> DataFrame:
-    """Token pieces of documents (doc_id, text): doc_id, piece, start, length, payload.
+    """Token pieces of documents (doc_id, text): doc_id, piece, start, length, payload, and a
+    sequence_id of its own for each piece that fills a sequence.
 
     `payload` turns a piece's ids, as little-endian unsigned 32-bit bytes, into what is kept of
     them; by default the bytes themselves."""
@@ -47,6 +48,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = SE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding.encoder(vocabulary)
+        task = TaskContext.get()
+        full = (task.partitionId() if task else 0) << 36  # round 0 of the numbering
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in textcore.batches(texts, 4_000_000):
@@ -57,12 +60,14 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = SE
                     begin, piece = 0, 0
                     end = n % capacity or min(n, capacity)
                     while begin < n:
-                        rows.append((doc_id, piece, begin, end - begin, keep(ids[4 * begin : 4 * end])))
+                        filled = end - begin == capacity
+                        full += filled
+                        rows.append((doc_id, piece, begin, end - begin, keep(ids[4 * begin : 4 * end]), full if filled else None))
                         begin, end, piece = end, end + capacity, piece + 1
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], arrow)], ["doc_id", "piece", "start", "length", "payload"])
+                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], arrow), pa.array(cols[5], pa.int64())], ["doc_id", "piece", "start", "length", "payload", "sequence_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, piece int, start long, length long, payload {payload_type}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, piece int, start long, length long, payload {payload_type}, sequence_id long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -165,8 +170,7 @@ def _repack(groups: DataFrame, round_no: int, last: bool, capacity: int) -> Data
 def pack(found: DataFrame, capacity: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """Packs pieces (as from pieces()) into sequences: adds sequence_id and offset."""
     spark = found.sparkSession
-    numbered = found.mapInArrow(_number_full(capacity), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long")
-    kept = tables.saved(numbered, "pieces")
+    kept = tables.saved(found, "pieces")
     columns = ["doc_id", "piece", "start", "length", "payload", "sequence_id", "offset"]
     results = [kept.filter(F.col("length") == capacity).withColumn("offset", F.lit(0).cast("long")).select(columns)]
     rows = kept.filter(F.col("length") < capacity).withColumn("old", F.lit(None).cast("long")).drop("sequence_id")
@@ -189,20 +193,6 @@ def pack(found: DataFrame, capacity: int = SEQUENCE, group: int = GROUP) -> Data
     return whole
 
 
-def _number_full(capacity: int) -> Callable:
-    """Gives full pieces a sequence each; round 0 of the numbering is theirs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        at = np.int64(task.partitionId() if task else 0) << 36
-        for batch in batches:
-            full = batch.column("length").to_numpy() == capacity
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at + np.cumsum(full))], [*batch.schema.names, "sequence_id"])
-            at += int(full.sum())
-
-    return run
-
-
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     docs = tables.table(spark, sf_dir, "documents")
     found = pieces(docs, encoding.tokenizer_path("byte_bpe_50k.json"), payload=crc32, payload_type="long")

@@ -157,7 +157,7 @@ def shuffle(x: np.ndarray, factor: np.uint64, term: np.uint64) -> np.ndarray:
     return y
 
 
-def batches(texts: list[str | None], most: int = 4_000_000):
+def batches(texts: list[str | None], most: int = 1_500_000):
     """Ranges of texts of about `most` characters each; a longer text is alone in its range."""
     begin, held = 0, 0
     for i, t in enumerate(texts):
