@@ -34,6 +34,8 @@ FEATURES = 3000
 #: Least chi-square of a feature's association with the label; among two million buckets chance
 #: alone hardly reaches it.
 LEAST_STRENGTH = 45.0
+#: Of n labelled rows, this over n features are taken in any case: few rows can't prove much.
+FEATURE_ROWS = 300_000
 #: Bytes of word starts that are features beside whole words.
 STARTS = (4, 5, 6, 7, 8)
 
@@ -241,7 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         toxic[x] += y
     rate = target.mean()
     strength = np.where(n >= 3, (toxic - n * rate) ** 2 / np.maximum(n * rate * (1 - rate), 1e-9), 0)
-    chosen = np.sort([i for i in np.argsort(-strength, kind="stable")[:FEATURES] if strength[i] >= LEAST_STRENGTH])
+    best = np.argsort(-strength, kind="stable")[:FEATURES]
+    chosen = np.sort(best[: max(FEATURE_ROWS // len(target), int((strength[best] >= LEAST_STRENGTH).sum()))])
+    chosen = chosen[strength[chosen] > 0]
     if not len(chosen):
         return lm, np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate)))
     place = np.full(BUCKETS, -1, np.int32)
