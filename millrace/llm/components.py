@@ -17,6 +17,13 @@ from millrace.llm import tables
 SALTS = 16
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on `key`, of which `one` has each value once and `many` may have any number: its
+    rows of a value are dealt to SALTS parts by `by`."""
+    copies = one.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns node, root for every node that isn't its component's least."""
     now = tables.saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
@@ -24,8 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        salted = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        large = both.filter("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = salted_join(both.filter("v > u"), least, "u", "v").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         last, now = now, tables.saved(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), "edges")

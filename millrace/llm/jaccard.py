@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import tables, textcore
-from millrace.llm.components import components
+from millrace.llm.components import components, salted_join
 
 K, THRESHOLD, RECALL = 5, 0.8, 0.9999
 MOST_HASHES = 128
@@ -175,7 +175,7 @@ def classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, recall: f
     buckets = hashes.groupBy("h").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = components(hashes.join(buckets, "h").select(F.col("node").alias("a"), F.col("least").alias("b")))
     roots = groups.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("m"))
-    members = groups.unionByName(roots.select(F.col("root").alias("node"), "root")).join(roots, "root").select("node", "root", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    members = salted_join(groups.unionByName(roots.select(F.col("root").alias("node"), "root")), roots, "root", "node").select("node", "root", F.ceil(F.col("m") / BLOCK).alias("blocks"))
     wanted = one.select("node", "rid", "copies").join(members, "node")
     texts = _keyed(docs.select("doc_id", "text")).select(F.col("_rid").alias("rid"), "text").join(wanted, "rid")
     sets = gram_sets(texts, k).withColumn("block", F.pmod(F.xxhash64("node", "root"), F.col("blocks")))
@@ -186,7 +186,7 @@ def classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, recall: f
     counts = found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     whole = one.select("node", "rid", "copies").join(counts, "node", "left").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.groupBy("root").agg(F.min("rid").alias("class_rid"))
-    whole = whole.join(least, "root").select("node", F.col("rid").alias("copy_of"), "copies", "texts", "docs", "class_rid")
+    whole = salted_join(whole, least, "root", "node").select("node", F.col("rid").alias("copy_of"), "copies", "texts", "docs", "class_rid")
     zero = F.lit(0).cast("long")
     return made.join(whole, "node", "left").select(
         "rid", "tid", "doc_id", F.coalesce("copy_of", "rid").alias("copy_of"), F.coalesce("class_rid", "rid").alias("class_id"),
