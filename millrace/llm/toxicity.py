@@ -1,8 +1,9 @@
 """Toxicity scores of restored texts.
 
-Channel. Toxic words hide as leetspeak (1d10t), by spacing (i d i o t, i.d.i.o.t) or by repeated
-letters (idiiiiot). Each suspicious token is a lattice: a position may stay as it is, stand for a
-letter it resembles, or be deleted. Viterbi decoding under a character trigram model of the whole
+Channel. Toxic words hide as leetspeak (1d10t, a$$), by spacing with any signs or white space
+(i d i o t, i/d/i/o/t), by both (1.d.1.0.t) or by repeated letters (idiiiiot). Each suspicious
+token is a lattice: a position may stay as it is, stand for a letter it resembles, or be deleted.
+Three or more equal signs at a word's end (was$$$) stay as they are. Viterbi decoding under a character trigram model of the whole
 corpus picks the likeliest letters; the text with the decoded tokens is the restored text.
 
 Scorer. Words and word starts of restored texts, hashed, are tested for association with the label on a bounded
@@ -51,17 +52,27 @@ for _c in range(0x250):
 # Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e"}
 _SIGNS = "".join(LEET)
-_L = r"[A-Za-zÀ-ɏ]"
+_MARKS = "".join(c for c in LEET if not c.isdigit())
+_L = "[A-Za-zÀ-ʯⱥⱦ]"  # U+024F and below, and their lower case
+_P = rf"(?:{_L}|[{re.escape(_SIGNS)}])"
+_BETWEEN = rf"(?:(?:_|[^\w{re.escape(_MARKS)}])+|(?<={_L})[{re.escape(_MARKS)}](?={_L}))"
+_SPACED = rf"(?<![^\W_])(?:{_P}{_BETWEEN}){{2,}}{_P}(?![^\W_])"
 _SUSPECT = re.compile(
-    rf"(?<![^\W_])(?:{_L}[ .\-_*]){{2,}}{_L}(?![^\W_])"  # spaced letters
+    rf"(?P<spaced>{_SPACED})"  # spaced letters or signs
     rf"|[{re.escape(_SIGNS)}]*{_L}[\w{re.escape(_SIGNS)}]*"  # a word, perhaps with signs in it
 )
-_HAS = re.compile(rf"[{re.escape(_SIGNS)}]+{_L}|{_L}[0-9]+(?!\w)|({_L})\1\1|{_L}[ .\-_*]", re.IGNORECASE)
+# Of words in lower case.
+_HAS = re.compile(rf"[{re.escape(_SIGNS)}]{_L}|{_L}[0-9{re.escape(_MARKS)}]+(?!\w)|({_L})\1\1|{_L}_")
+_ANY_LETTER = re.compile(_L)
+_TAIL = re.compile(rf"([{re.escape(_MARKS)}])\1\1+\Z")
 
 _KEEP, _LEET, _REPEAT = 0.0, -1.0, -0.5
 # A gap between single letters joins them, unless the language model much prefers two words.
 _DROP, _GAP_STAYS = 0.0, -3.0
 _STAY = -7.0
+# An exclamation mark at a word's end is one, unless the language model much prefers a letter.
+_MARK_STAYS, _MARK_IS_LETTER = 0.0, -4.0
+_GAP = [("", _DROP), (" ", _GAP_STAYS)]
 
 
 def lm_counts(docs: DataFrame) -> DataFrame:
@@ -103,16 +114,22 @@ class Restorer:
         self.lm = lm
         self.known: dict[str, str] = {}
 
-    def _options(self, token: str) -> list[list[tuple[str, float]]]:
+    def _options(self, token: str, spaced: bool) -> list[list[tuple[str, float]]]:
         out: list[list[tuple[str, float]]] = []
         low = token.lower()
+        body = len(low.rstrip("!"))
         i = 0
         while i < len(low):
             c = low[i]
-            if c in LEET:
-                out.append([(x, _LEET) for x in LEET[c]] + [(" ", _STAY)])
-            elif c in " .-_*":
-                out.append([("", _DROP), (" ", _GAP_STAYS)])
+            if i >= body and not spaced:
+                out.append([(x, _MARK_IS_LETTER) for x in LEET[c]] + [(c, _MARK_STAYS)])
+            elif c in LEET:
+                out.append([(x, _LEET) for x in LEET[c]] + [(" " if c.isdigit() else c, _STAY)])
+                if spaced and c in _MARKS and 0 < i < len(low) - 1 and _ANY_LETTER.match(low[i - 1]) and _ANY_LETTER.match(low[i + 1]):
+                    out[-1] += [("", _DROP), (" ", _GAP_STAYS)]
+            elif not c.isalnum():
+                if not out or out[-1] is not _GAP:
+                    out.append(_GAP)
             else:
                 run = i
                 while run < len(low) and low[run] == c:
@@ -125,60 +142,77 @@ class Restorer:
             i += 1
         return out
 
-    def decode(self, token: str) -> str:
+    def decode(self, token: str, spaced: bool = False) -> str:
         if token in self.known:
             return self.known[token]
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in [*self._options(token), [(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (p2, p1), (score, text) in best.items():
+        # Of each pair of last characters: score, and the letters so far as a chain of pairs.
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        for options in [*self._options(token, spaced), [(" ", 0.0)]]:
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (p2, p1), (score, chain) in best.items():
                 for letters, cost in options:
                     s, a, b = score + cost, p2, p1
                     for c in letters:
                         o = ord(c)
-                        k = int(_CODE[o]) if o < 0x250 else _A - 1
-                        s += float(self.lm[a, b, k])
-                        a, b = b, k
+                        k = int(_CODE[o]) if o < 0x250 else 0 if c in LEET else _A - 1
+                        if k or b:  # several signs between words are one
+                            s += float(self.lm[a, b, k])
+                            a, b = b, k
                     if (a, b) not in new or s > new[a, b][0]:
-                        new[a, b] = (s, text + letters)
+                        new[a, b] = (s, (chain, letters))
             best = new
-        out = max(best.values())[1].strip()
+        chain = max(best.values(), key=lambda x: x[0])[1]
+        parts = []
+        while chain:
+            chain, letters = chain
+            parts.append(letters)
+        out = "".join(reversed(parts)).strip()
         if len(self.known) < 200_000 and len(token) < 64:
             self.known[token] = out
         return out
 
+    def _restored(self, m: re.Match) -> str:
+        token = m[0]
+        if m["spaced"] is not None:
+            return self.decode(token, True) if _ANY_LETTER.search(token) else token
+        tail = _TAIL.search(token)
+        core = token[: tail.start()] if tail else token
+        return self.decode(core) + token[len(core) :] if _HAS.search(core.lower()) else token
+
     def restore(self, text: str) -> str:
         """Decoded tokens take the place of suspicious ones; a spaced word follows what it stood for."""
-        return _SUSPECT.sub(lambda m: self.decode(m[0]) if _HAS.search(m[0]) else m[0], text)
+        return _SUSPECT.sub(self._restored, text)
 
 
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_LETTER[195:202] = True
-_SIGN = np.zeros(256, bool)
-_SIGN[[ord(c) for c in _SIGNS if ord(c) < 128]] = True
-_SIGN[0xAC] = True
-_GAP = np.zeros(256, bool)
-_GAP[[ord(c) for c in " .-_*\n"]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
+# Kinds of characters below _FAR; of others it isn't asked whether they separate.
+_FAR = 0x2C70
+_IS_LETTER, _IS_SIGN, _IS_DIGIT, _SEPARATES, _IS_WORD = 1, 2, 4, 8, 16
+_KIND = np.full(_FAR + 1, _SEPARATES, np.uint8)
+for _c in range(_FAR):
+    _x = chr(_c)
+    _KIND[_c] = (
+        _IS_LETTER * bool(_ANY_LETTER.match(_x)) | _IS_SIGN * (_x in LEET) | _IS_DIGIT * ("0" <= _x <= "9") | _SEPARATES * (_x not in LEET and not _x.isalnum()) | _IS_WORD * _x.isalnum()
+    )
+_APART = "\u2c60"  # between texts; in lower case none holds it
+_KIND[ord(_APART)] = 0
 
 
 def suspicious(texts: list[str | None]) -> np.ndarray:
-    """Whether a text may hold a suspicious token: a sign before a letter, a digit after one, three
-    equal bytes, or single letters with one separator between them."""
-    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    d = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n\n\n\n\n", dtype=np.uint8)
-    letter, gap = _LETTER[d], _GAP[d]
+    """Whether a text holds a token that _SUSPECT and _HAS may take: a sign before a letter, a sign or
+    digit after one, three equal letters, a letter before '_', or three single letters or signs apart."""
+    parts = [(t or "").lower() for t in texts]
+    d = np.frombuffer((_APART + _APART.join(parts) + _APART * 7).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = _KIND[np.minimum(d, _FAR)]
+    letter, sign = kind & _IS_LETTER != 0, kind & _IS_SIGN != 0
     flag = np.zeros(len(d), bool)
-    flag[:-1] |= _SIGN[d][:-1] & letter[1:]
-    flag[:-1] |= letter[:-1] & _DIGIT[d][1:]
+    flag[:-1] |= sign[:-1] & letter[1:]
+    flag[:-1] |= letter[:-1] & ((kind[1:] & (_IS_SIGN | _IS_DIGIT) != 0) | (d[1:] == 95))
     flag[:-2] |= letter[:-2] & (d[:-2] == d[1:-1]) & (d[1:-1] == d[2:])
-    single = np.zeros(len(d), bool)
-    single[1:-1] = letter[1:-1] & gap[:-2] & gap[2:]
-    flag[:-4] |= single[:-4] & single[2:-2] & single[4:]
-    # letters beyond ASCII take two bytes; a run of three of them repeats at a distance of two
-    flag[:-6] |= (d[:-6] >= 195) & (d[:-6] == d[2:-4]) & (d[2:-4] == d[4:-2]) & (d[1:-5] == d[3:-3]) & (d[3:-3] == d[5:-1])
+    gap = kind & _SEPARATES != 0
+    at = np.flatnonzero(np.concatenate(([True], ~(gap[1:] & gap[:-1]))))  # the first of each run of separators
+    k = kind[at]
+    place, gap, free = k & (_IS_LETTER | _IS_SIGN) != 0, k & _SEPARATES != 0, k & _IS_WORD == 0
+    flag[at[1:-5][free[:-6] & place[1:-5] & gap[2:-4] & place[3:-3] & gap[4:-2] & place[5:-1] & free[6:]]] = True
     ends = np.cumsum([len(p) + 1 for p in parts])
     sums = np.concatenate(([0], np.cumsum(flag)))
     return sums[ends + 1] - sums[np.concatenate(([1], ends[:-1] + 1))] > 0

@@ -199,6 +199,31 @@ def test_restoring():
         assert not toxicity.suspicious([plain]).any() or restorer.restore(plain) == plain
 
 
+@pytest.fixture(scope="module")
+def restorer():
+    counts = np.zeros(toxicity._A**3, np.int64)
+    c = toxicity.codes(("the idiot is stupid and a moron was worthless to the clown as an ass or pass " + prose(3, 300) + " ") * 30)
+    np.add.at(counts, (c[:-2] * toxicity._A + c[1:-1]) * toxicity._A + c[2:], 1)
+    return toxicity.Restorer(toxicity.language_model(counts))
+
+
+def test_restoring_of_combined_forms(restorer):
+    apart = ["m 0 r 0 n", "i d 1 0 t", "1.d.1.0.t", "i/d/i/o/t", "i,d,i,o,t", "i  d  i  o  t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "i - d - 1 - 0 - t", "i     d i o t", "i|d|i|o|t", "I D I O +", "(i d i o t)", '"m o r o n"', "a$$", "idio+", "id10+", "idi0t$$$"]
+    for hidden in apart:
+        plain = "moron" if "r" in hidden else "ass" if hidden == "a$$" else "idiot"
+        assert plain in textcore_words(restorer.restore(f"the {hidden} was")), hidden
+        assert toxicity.suspicious([hidden, "the end", f"the {hidden} was"]).tolist() == [True, False, True], hidden
+    for plain in ("the idiot! was", "was$$$ it*** an!!!!", "it is a 5 was", "1 0 1 0 1 0", "Of it!! (yes)"):
+        assert restorer.restore(plain) == plain
+    long = "i d " * 50_000
+    assert len(restorer.restore(long)) > 1000
+
+
+def textcore_words(text):
+    w = textcore.words([text])
+    return [w.word(i).decode() for i in range(len(w.hashes))]
+
+
 def test_toxicity(spark, awkward, no_docs):
     r = random.Random(4)
     rows, labels = [], []
