@@ -224,6 +224,17 @@ def textcore_words(text):
     return [w.word(i).decode() for i in range(len(w.hashes))]
 
 
+def test_the_gate_takes_all_that_the_decoder_does(restorer):
+    assert toxicity.suspicious(['"s c u m"', "(s c u m)", "IdIIiot", "é1", "É1é", None, "the end"]).tolist() == [True] * 5 + [False] * 2
+    r = random.Random(8)
+    signs = list("aabAB iI  ..-_*!$@|+€01325()\n\tÉéßİΣΩ日\u00a0\u200b😀")
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 14))) for _ in range(40_000)]
+    gate = toxicity.suspicious(texts)
+    changed = np.array([restorer.restore(t) != t for t in texts])
+    assert not (changed & ~gate).any(), [t for t, c, g in zip(texts, changed, gate, strict=True) if c and not g][:5]
+    assert 0.02 < (~gate).mean()
+
+
 def test_toxicity(spark, awkward, no_docs):
     r = random.Random(4)
     rows, labels = [], []
