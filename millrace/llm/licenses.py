@@ -1,6 +1,6 @@
 """Licence texts and notices in documents, by digests of a canonical form.
 
-Canonical form: lower case; lines that state whose copyright it is are dropped; equivalent spellings
+Canonical form: lower case; lines that begin with a statement whose copyright it is are dropped; equivalent spellings
 become one; every run of other characters than a-z and 0-9 becomes one space. A unit, that is a
 document's whole text or one of its lines, is a finding when the digest of its canonical form is
 that of a known text. Everything is a DataFrame expression; the only join is with the table of
@@ -12,6 +12,9 @@ is a key of its own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +42,73 @@ INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS
 ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
 THIS SOFTWARE."""
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+
+{0} Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+{1} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+{2}
+THIS SOFTWARE IS PROVIDED BY THE {3} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE {4} BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND
+ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN
+ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_NAMES = """
+{0} Neither the name of {1} nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+
+_GNU_HEADER = """This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General
+Public License as published by the Free Software Foundation{3} version {4} of the License, or (at your option) any later
+version.
+
+This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2}General Public License for more details."""
+_GNU_END = """
+
+You should have received a copy of the GNU {1}General Public License along with this {0}. If not, see
+<https://www.gnu.org/licenses/>."""
+
+_MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+#: Licences whose texts are files of license_texts.
+FILES = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"]
+
+
+def _full_texts() -> list[tuple[str, str]]:
+    """Full texts and standard headers, in the forms in which they are commonly given."""
+    short = [("MIT", "MIT License", _MIT), ("MIT", "The MIT License (MIT)", _MIT), ("MIT", "The MIT License", _MIT), ("ISC", "ISC License", _ISC), ("ISC", "The ISC License", _ISC)]
+    for marks in (("1.", "2.", "3."), ("*", "*", "*")):
+        for all_, any_ in (("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT HOLDER OR CONTRIBUTORS"), ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT OWNER OR CONTRIBUTORS"), ("AUTHOR AND CONTRIBUTORS", "AUTHOR OR CONTRIBUTORS"), ("REGENTS AND CONTRIBUTORS", "REGENTS OR CONTRIBUTORS")):
+            names = [_BSD_NAMES.format(marks[2], n) for n in ("the copyright holder", "the copyright owner", "the author", "the University", "the <organization>", "[project]")]
+            short += [("BSD-2-Clause", title, _BSD.format(*marks[:2], "", all_, any_)) for title in ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD License")]
+            short += [("BSD-3-Clause", title, _BSD.format(*marks[:2], n, all_, any_)) for title in ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License") for n in names]
+    out = [(i, head + t) for i, title, t in short for head in ("", title + "\n\n", "All rights reserved.\n\n", title + "\n\nAll rights reserved.\n\n")]
+    for name in FILES:
+        text = resources.files(__package__).joinpath("license_texts", name + ".txt").read_text("utf-8")
+        out.append((name, text))
+        for end in ("How to Apply These Terms to Your New", "APPENDIX: How to apply"):  # often left out
+            if end in text.replace("\n", " "):
+                out.append((name, re.split(end.replace(" ", r"\s+"), text, maxsplit=1)[0]))
+    apache = out[[i for i, _ in out].index("Apache-2.0")][1]
+    header = apache[apache.rindex("Licensed under the Apache License") :]
+    out += [("Apache-2.0", header), ("MPL-2.0", _MPL_HEADER)]
+    for i, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")):
+        for thing in ("program", "library", "software", "file"):
+            for colon, comma in ((":", ", either"), (";", "; either")):
+                main = _GNU_HEADER.format(thing, colon, kind, comma, version)
+                out += [(i, main), (i, main + _GNU_END.format(thing, kind))]
+    return out
+
+
 # Known licence texts and the notices that stand for a licence.
 KNOWN = [
+    *_full_texts(),
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
     ("MIT", "Released under the MIT License."),
@@ -87,7 +155,37 @@ SPELLINGS = [
     (r"\bv(\.|ersion)? ?([0-9])", "version $2"),
 ]
 
-_COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\)|©|[0-9])|\(c\)[^a-z0-9\n]*[a-z0-9]|©)[^\n]*"
+#: What follows 'copyright', or '(c)', where a line of a licence begins with it but names no owner.
+_NO_OWNER = """notice notices holder holders owner owners law laws license licenses licence licences and or of in on is as to for
+act interest interests right rights treaty protection protections disclaimer statement statements ownership infringement
+permission permissions policy information the~software the~program the~library the~work you under if any claim claims
+including resulting doctrines are""".split()
+
+
+def _other_than(phrases: list[str], inside: bool = True) -> str:
+    """A pattern of the rest of a word that is none of these; without lookahead, which DuckDB hasn't."""
+    firsts: dict[str, list[str]] = {}
+    for p in phrases:
+        firsts.setdefault(p[:1], []).append(p[1:])
+    ends = "" in firsts
+    heads = "".join(sorted(c for c in firsts if c and c != " "))
+    ways = [rf"[^\W_{heads}]", r"[^\x00-\x7f]"] + [c + _other_than(rest, c != " ") for c, rest in sorted(firsts.items()) if c]
+    if not ends and inside:
+        ways.append(r"[^a-z0-9\s]" if " " in firsts else r"\b")
+    return "(?:" + "|".join(ways) + ")"
+
+
+def _owner(phrases: list[str]) -> str:
+    """A pattern of the begin of a name: a word that is none of these."""
+    firsts: dict[str, list[str]] = {}
+    for p in phrases:
+        firsts.setdefault(p[0], []).append(p[1:].replace("~", " "))
+    heads = "".join(sorted(firsts))
+    return "(?:" + "|".join([rf"[^\W_{heads}]", r"[^\x00-\x7f]", *(c + _other_than(rest) for c, rest in sorted(firsts.items()))]) + ")"
+
+
+_OWNER = _owner(_NO_OWNER)
+_COPYRIGHT = rf"(^|\n)[^a-z0-9\n]*(copyright([ \t:]+|[ \t:]*[<\[{{]){_OWNER}|copyright[^a-z0-9\n]*(\(c\)|©|[0-9])|\(c\)[^a-z0-9\n]*{_OWNER}|©)[^\n]*"
 
 
 def canonical(text: Column) -> Column:

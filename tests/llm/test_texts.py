@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -153,6 +154,30 @@ def test_licenses(spark, write, awkward):
     assert licenses.findings(awkward).count() == 0
 
 
+def test_full_licence_texts(spark, write):
+    heads = ["Copyright The Go Authors", "Copyright Google Inc.", "Copyright by Jane Doe 2020", "Copyright (c) 2020 A\nAll rights reserved.", "(c) Jane Doe", "© 2020 A", "Copyright [yyyy] [name]", "Copyright Notable Ltd", "Copyright 2020 A. All rights reserved."]
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 500 and t.startswith("Perm"))
+    texts = {i: (h + "\n\n" + mit, "MIT") for i, h in enumerate(heads)}
+    full = {}
+    for i, t in licenses.KNOWN:
+        if len(t) > len(full.get(i, "x" * 400)):
+            full[i] = t
+    assert {*licenses.FILES, "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "AGPL-3.0"} <= set(full)
+    for i, t in full.items():
+        texts[len(texts)] = (t, i)
+        for width in (60, 72, 79, 100):
+            kept = "\n\n".join(textwrap.fill(" ".join(x.split()), width, break_on_hyphens=False, break_long_words=False) if "copyright (c)" not in x.lower() and "copyright [" not in x.lower() else x for x in t.split("\n\n"))
+            texts[len(texts)] = (kept, i)
+    texts[len(texts)] = ("Copyright notice\n" + mit, None)
+    folder = write(documents=spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string"))
+    got = sorted(map(tuple, licenses.op2_license_scans(spark, folder).collect()))
+    whole = {d: i for d, i, unit, _ in got if unit == "text"}
+    assert [(k, i, whole.get(k), t[:60]) for k, (t, i) in texts.items() if whole.get(k) != i] == []
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    assert sorted(c.sql(registry.ORACLE_SQL["op2_license_scans"]).fetchall()) == got
+
+
 def test_expectation_maximisation_finds_accuracies():
     r = np.random.default_rng(0)
     good = r.random(20_000) < 0.8
