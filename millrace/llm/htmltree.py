@@ -8,8 +8,12 @@ from html import unescape
 #: Elements that don't interrupt a block of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never shown as such.
-RAW = frozenset("script style template iframe svg object noembed noframes title textarea math canvas audio video".split())
+#: Elements whose text is raw and never shown as such: all up to the closing tag.
+RAW = frozenset("script style iframe noembed noframes title textarea".split())
+#: Elements with a tree of their own that isn't shown as text.
+SKIPPED = frozenset("template svg object math canvas audio video".split())
+#: Of these, those that '/>' closes.
+FOREIGN = frozenset({"svg", "math"})
 _P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -43,6 +47,27 @@ def names_of(attributes: str) -> tuple:
     return tuple(dict.fromkeys(out))
 
 
+def _after(page: str, at: int, tag: str, attributes: str) -> int:
+    """Where the page goes on after an element of SKIPPED whose tag ends at `at`; without a closing
+    tag of its own the element is taken as empty."""
+    if tag in FOREIGN and attributes.endswith("/"):
+        return at
+    depth, begin = 1, at
+    while (m := _TOKEN.search(page, at)) is not None:
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        if m[1] or m[4]:
+            depth -= name == tag
+            if not depth:
+                return at
+        elif name in RAW and tag not in FOREIGN:
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
+            at = close.end() if close else len(page)
+        elif name == tag:
+            depth += not (tag in FOREIGN and (m[3] or m[6] or "").endswith("/"))
+    return begin
+
+
 def parse(html: str | None) -> list[Node]:
     """Nodes in page order, parents before children; the first is the root."""
     nodes = [Node("#root", (), -1)]
@@ -89,6 +114,9 @@ def parse(html: str | None) -> list[Node]:
         if not tag:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if tag in SKIPPED and not closing:
+            at = _after(page, at, tag, attributes)
+            continue
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:

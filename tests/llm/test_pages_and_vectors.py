@@ -114,3 +114,9 @@ def test_pipeline(spark, data_dir, write, no_docs):
     folder = write(documents=no_docs, labels=spark.read.parquet(f"{data_dir}/labels.parquet"), benchmark=spark.read.parquet(f"{data_dir}/benchmark.parquet"))
     assert corpus_pipeline.run(spark, folder).count() == 0
 
+
+
+@pytest.mark.parametrize("inset", ["<svg width='1'/>", "<math />", "<svg><svg/><title>no</title><svg>no</svg></svg>", "<video src=x>no</video>", "<object><p>no</p><object>no</object>no</object>", "<canvas>"])
+def test_embedded_elements_leave_the_article(inset):
+    texts = [n.text for n in htmltree.parse(f"<p>one</p>{inset}<p>two</p><svg>no</svg><p>three</p>") if n.text is not None]
+    assert texts == ["one", "two", "three"]
