@@ -12,6 +12,7 @@ is a key of its own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import re
 from importlib import resources
 
@@ -103,6 +104,10 @@ def _full_texts() -> list[tuple[str, str]]:
             for colon, comma in ((":", ", either"), (";", "; either")):
                 main = _GNU_HEADER.format(thing, colon, kind, comma, version)
                 out += [(i, main), (i, main + _GNU_END.format(thing, kind))]
+    # A line may break within "v. 2.0", which no spelling reaches over.
+    for i, t in [x for x in out if "v. 2.0" in x[1]]:
+        first, *rest = t.split("v. 2.0")
+        out += [(i, first + "".join(v + r for v, r in zip(vs, rest, strict=True))) for vs in itertools.product(("v. 2.0", "v.\n2.0"), repeat=len(rest)) if "v.\n2.0" in vs]
     return out
 
 

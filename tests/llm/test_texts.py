@@ -165,7 +165,7 @@ def test_full_licence_texts(spark, write):
     assert {*licenses.FILES, "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "AGPL-3.0"} <= set(full)
     for i, t in full.items():
         texts[len(texts)] = (t, i)
-        for width in (60, 72, 79, 100):
+        for width in (60, 64, 72, 79, 100):
             kept = "\n\n".join(textwrap.fill(" ".join(x.split()), width, break_on_hyphens=False, break_long_words=False) if "copyright (c)" not in x.lower() and "copyright [" not in x.lower() else x for x in t.split("\n\n"))
             texts[len(texts)] = (kept, i)
     texts[len(texts)] = ("Copyright notice\n" + mit, None)
