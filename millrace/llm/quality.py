@@ -95,6 +95,8 @@ def votes(s: np.ndarray) -> np.ndarray:
     """Votes of the labellers on rows of STATISTICS."""
     x = {name: s[:, i] for i, name in enumerate(STATISTICS)}
     some = x["words"] >= 20
+    # Distinct words grow at least as the root of a text's length.
+    few = 0.15 * np.sqrt(3000 / np.maximum(x["words"], 3000))
 
     def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
         return np.where(bad, 0, np.where(good, 1, -1))
@@ -105,7 +107,7 @@ def votes(s: np.ndarray) -> np.ndarray:
             vote(x["upper"] > 0.5, x["upper"] < 0.2),
             vote(x["shouts"] > 0.3, x["shouts"] < 0.05),
             vote(x["repeats"] > 0.2, x["repeats"] < 0.05),
-            vote(some & (x["distinct"] < 0.15) & (x["words"] < 3000), some & (x["distinct"] > 0.35)),
+            vote(some & (x["distinct"] < few), some & (x["distinct"] > 0.35)),
             vote(some & (x["most_common"] > 0.25), some & (x["most_common"] < 0.15)),
             vote(some & (x["stops"] < 0.03), x["stops"] > 0.1),
             vote((x["mean_length"] > 12) | (x["mean_length"] < 2), (x["mean_length"] > 3) & (x["mean_length"] < 9)),

@@ -280,3 +280,11 @@ def test_toxicity(spark, awkward, no_docs):
     assert out.columns == awkward.columns
     assert toxicity.keep_clean(no_docs, marks).count() == 0
     assert toxicity.keep_clean(docs, marks.limit(0)).count() == len(rows)
+
+
+@pytest.mark.parametrize("n", [2_900, 6_000, 60_000])
+def test_repeated_passages_are_bad_at_any_length(n):
+    junk = " ".join(prose(5, 10).split() * (n // 10))
+    good = " ".join(f"w{int(abs(x))}" for x in np.random.default_rng(0).zipf(1.3, n) % 10**6)
+    assert quality.votes(quality.statistics([junk, good], textcore.words([junk, good])))[:, 4].tolist()[0] == 0
+    assert quality.votes(quality.statistics([good], textcore.words([good])))[0, 4] != 0
