@@ -9,7 +9,9 @@ window must equal an item's window, and overlapping windows join to spans of wor
 The benchmark's fingerprints are broadcast in blocks of at most BLOCK_WINDOWS windows, whatever
 its size; with several blocks, documents pass through one step per block.
 
-Nulls and texts without words hit nothing. Items without words or without an id are no windows.
+Nulls and texts without words hit nothing. Items without words are no windows. Windows of items
+without an id count in the operator and in clean(), but add no id to `items`; mark() takes them
+only with `unnamed`.
 Repeated documents are judged each for itself, repeated items count once. Empty tables give
 empty or clean results. Further columns of the documents are kept by clean().
 """
@@ -36,7 +38,7 @@ SPANS = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
 class Index:
     """Windows of some benchmark items: fingerprints, window hashes and the items of each."""
 
-    def __init__(self, item_ids: list, texts: list[str | None], window: int = WINDOW, k: int = K):
+    def __init__(self, item_ids: list, texts: list[str | None], window: int = WINDOW, k: int = K, unnamed: bool = False):
         self.window, self.k = window, k
         ids = sorted({i for i in item_ids if i is not None})
         number = {x: n for n, x in enumerate(ids)}
@@ -44,7 +46,8 @@ class Index:
         w = textcore.words(texts)
         counts = w.counts()
         code = np.array([number.get(i, -1) for i in item_ids], dtype=np.int64)
-        counts = np.where(code < 0, 0, counts)
+        if not unnamed:
+            counts = np.where(code < 0, 0, counts)
         self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted({min(int(c), window) for c in counts} - {0}):
             own = np.flatnonzero(counts >= window) if n == window else np.flatnonzero(counts == n)
@@ -95,7 +98,8 @@ class Index:
             text, where = both // len(hashes), both % len(hashes)
             many = first[where + 1] - first[where]
             each = np.repeat(first[where], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            found.append(np.unique(np.repeat(text, many) * len(self.item_ids) + items[each]))
+            text, item = np.repeat(text, many), items[each]
+            found.append(np.unique((text * len(self.item_ids) + item)[item >= 0]))
         out: list[list[int]] = [[] for _ in texts]
         if found:
             for x in np.unique(np.concatenate(found)).tolist():
@@ -127,7 +131,7 @@ def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(benchmark: DataFrame, window: int, most: int) -> list:
+def _blocks(benchmark: DataFrame, window: int, most: int, unnamed: bool) -> list:
     """The benchmark in blocks of about `most` windows: read and broadcast one after another."""
     spark = benchmark.sparkSession
     out, ids, texts, held = [], [], [], 0
@@ -136,20 +140,20 @@ def _blocks(benchmark: DataFrame, window: int, most: int) -> list:
         texts.append(row["text"])
         held += 1 + len(row["text"] or "") // 2
         if held >= most:
-            out.append(spark.sparkContext.broadcast(Index(ids, texts, window)))
+            out.append(spark.sparkContext.broadcast(Index(ids, texts, window, unnamed=unnamed)))
             ids, texts, held = [], [], 0
     if ids or not out:
-        out.append(spark.sparkContext.broadcast(Index(ids, texts, window)))
+        out.append(spark.sparkContext.broadcast(Index(ids, texts, window, unnamed=unnamed)))
     return out
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, keep_text: bool = True) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, keep_text: bool = True, unnamed: bool = False) -> DataFrame:
     """Documents with n_words, hit_spans (first word and word after the last) and items (ids of the
     items with a window in the text). All columns of `docs` stay as they are; without `keep_text`
     the text comes back null, which saves its way back from Python."""
     out = docs.withColumns({"_spans": F.lit(None).cast("array<struct<first:long,after:long>>"), "_items": F.lit(None).cast("array<string>"), "_n": F.lit(0).cast("long")})
     schema = out.schema
-    blocks = _blocks(benchmark, window, block_windows)
+    blocks = _blocks(benchmark, window, block_windows, unnamed)
     for i, block in enumerate(blocks):
         out = out.mapInArrow(_marker(block, keep_text or i + 1 < len(blocks)), schema)
     return out.select(*docs.columns, F.col("_n").alias("n_words"), F.col("_spans").alias("hit_spans"), F.col("_items").alias("items"))
@@ -205,7 +209,7 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without any benchmark window, with their own columns."""
-    marked = mark(tables.wrapped(docs), benchmark, window)
+    marked = mark(tables.wrapped(docs), benchmark, window, unnamed=True)
     return tables.unwrapped(marked.filter(F.size("hit_spans") == 0), docs.columns)
 
 
@@ -215,6 +219,6 @@ def digest(item_ids: list[str]) -> str:
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = mark(docs, tables.table(spark, sf_dir, "benchmark"), keep_text=False)
+    marked = mark(docs, tables.table(spark, sf_dir, "benchmark"), keep_text=False, unnamed=True)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda t, s: t + s["after"] - s["first"])
     return marked.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"), "hit_spans")

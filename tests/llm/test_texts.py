@@ -282,6 +282,15 @@ def test_toxicity(spark, awkward, no_docs):
     assert toxicity.keep_clean(docs, marks.limit(0)).count() == len(rows)
 
 
+def test_items_without_an_id_are_hit(spark):
+    base = prose(9, 40)
+    docs = spark.createDataFrame([(1, "x " + base + " y"), (2, prose(10, 40))], "doc_id long, text string")
+    for items in ([(None, base)], [(None, base), (3, prose(11, 40))]):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        assert [x["doc_id"] for x in decontaminate.clean(docs, bench).collect()] == [2]
+        assert [x["items"] for x in decontaminate.mark(docs, bench, unnamed=True).collect()] == [[], []]
+
+
 @pytest.mark.parametrize("n", [2_900, 6_000, 60_000])
 def test_repeated_passages_are_bad_at_any_length(n):
     junk = " ".join(prose(5, 10).split() * (n // 10))
