@@ -6,7 +6,8 @@ in groups of bounded size. Dual-feasible functions give each group a lower bound
 A group that meets its bound is done. Any other keeps its full bins and hands the bins with
 gaps, whole, to the next round, where fewer and larger mixes of such bins are packed anew; a
 group that would need more bins than it got keeps them as they were. Rounds end when all groups
-are certified or when one group holds all open bins and can't better them.
+are certified or when a round saves no bin, with several groups not before LEAST_ROUNDS, or after MOST_ROUNDS; what is
+open then stays uncertified.
 
 Nulls: a null text is an empty document, of the end id alone. Repeated rows are packed each for
 itself. An empty table gives an empty result.
@@ -14,6 +15,7 @@ itself. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,7 +30,9 @@ from millrace.llm import encoding, tables, textcore
 SEQUENCE = 2048
 #: Pieces that one task packs at once; also bounds the driver-free final round.
 GROUP = 60_000
-ROUNDS = 5
+LEAST_ROUNDS = 5
+#: A sequence's id has six bits for the round.
+MOST_ROUNDS = 63
 _ROUND_SHIFT, _GROUP_SHIFT = 57, 32
 
 
@@ -127,7 +131,7 @@ def _place(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repack(groups: DataFrame, round_no: int, last: bool, capacity: int) -> DataFrame:
+def _repack(groups: DataFrame, round_no: int, capacity: int) -> DataFrame:
     """One round. Rows come with `grp` and the bin they had (`old`, null in the first round)."""
 
     def finish(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -142,7 +146,7 @@ def _repack(groups: DataFrame, round_no: int, last: bool, capacity: int) -> Data
         used = int(bins.max()) + 1
         certified = used <= lower_bound(lengths, capacity)
         filled = np.bincount(bins, weights=lengths, minlength=used)
-        done = np.full(len(bins), True) if certified or last else (filled == capacity)[bins]
+        done = np.full(len(bins), True) if certified else (filled == capacity)[bins]
         ids = (np.int64(round_no) << _ROUND_SHIFT) + (rows.column("grp").to_numpy().astype(np.int64) << _GROUP_SHIFT) + bins
         out = rows.drop_columns(["grp", "old"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(_place(lengths, bins))).append_column("done", pa.array(done))
         yield from out.to_batches()
@@ -174,19 +178,23 @@ def pack(found: DataFrame, capacity: int = SEQUENCE, group: int = GROUP) -> Data
     columns = ["doc_id", "piece", "start", "length", "payload", "sequence_id", "offset"]
     results = [kept.filter(F.col("length") == capacity).withColumn("offset", F.lit(0).cast("long")).select(columns)]
     rows = kept.filter(F.col("length") < capacity).withColumn("old", F.lit(None).cast("long")).drop("sequence_id")
-    n, before = rows.count(), None
-    for round_no in range(1, ROUNDS + 1):
+    n, had = rows.count(), None
+    for round_no in itertools.count(1):
         if not n:
             break
         count = -(-n // group)
         key = F.xxhash64("doc_id", "piece") if round_no == 1 else F.xxhash64("old")
         dealt = rows.withColumn("grp", F.pmod(key, F.lit(count)).cast("int")).repartition(min(count, tables.partitions(spark) * 8), "grp")
-        last = round_no == ROUNDS or before == (n, 1)
-        out = tables.saved(_repack(dealt, round_no, last, capacity), "packed")
+        out = tables.saved(_repack(dealt, round_no, capacity), "packed")
         results.append(out.filter("done").select(columns))
-        before = (n, count)
+        # A bin's first piece stands for it.
+        first, still = F.col("offset") == 0, ~F.col("done")
+        bins, left, n = out.agg(F.count_if(first), F.count_if(first & still), F.count_if(still)).first()
+        if n and (round_no == MOST_ROUNDS or (had is not None and bins >= had and (count == 1 or round_no >= LEAST_ROUNDS))):
+            results.append(out.filter("not done").select(columns))
+            break
+        had = left
         rows = out.filter("not done").withColumnRenamed("sequence_id", "old").drop("offset", "done")
-        n = 0 if last else rows.count()
     whole = results[0]
     for r in results[1:]:
         whole = whole.unionByName(r)

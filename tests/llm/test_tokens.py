@@ -136,3 +136,23 @@ def test_chat(spark):
 
 def test_crc_is_unsigned():
     assert packing.crc32(b"\1\0\0\0") == zlib.crc32(b"\1\0\0\0") >= 0
+
+
+def test_packing_goes_on_until_a_round_saves_nothing(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(r.integers(10, 45, 300))]
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, payload long").selectExpr("*", "cast(null as long) AS sequence_id")
+    used = []
+    saved = packing.tables.saved
+
+    def watched(frame, name):
+        out = saved(frame, name)
+        if name == "packed":
+            used.append(out.select("sequence_id").distinct().count() - out.filter("done").select("sequence_id").distinct().count())
+        return out
+
+    monkeypatch.setattr(packing.tables, "saved", watched)
+    monkeypatch.setattr(packing, "lower_bound", lambda lengths, capacity: 0)  # nothing is certified
+    got = packing.pack(found, capacity=64, group=4).collect()
+    assert sorted((x["doc_id"], x["length"]) for x in got) == [(a, d) for a, _, _, d, _ in rows]
+    assert len(used) > 5, used
