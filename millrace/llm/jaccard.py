@@ -1,20 +1,24 @@
 """Similarity join of documents by the Jaccard similarity of their word n-gram sets.
 
-1. Texts of equal word sequence form a class (copies); one of them stands for it.
+1. Texts of equal word sequence, by 128 bits of hashes, form a class (copies); one stands for it.
 2. Each class gets MinHash values, banded. Rows per band are as many as the hash budget allows,
    bands as many as the target recall at the threshold needs. Band hashes are shuffled; a bucket
    links its members to its least one, and components of these links are the candidate groups.
-3. Every pair in a candidate group is verified on full n-gram sets. A group is cut into blocks of
-   about BLOCK texts, and pairs of blocks are dealt out, so no task holds more than two blocks and
-   no pair leaves its task: a task returns counts by text, and a spanning forest of its links.
+3. Pairs are verified on full n-gram sets in cells. A cell is a candidate group or, where chance
+   hits chain many unlike texts so that this moves fewer rows, each of the group's buckets; a pair
+   that shares several buckets counts in the first of them only. A cell is cut into blocks of about
+   BLOCK texts and BLOCK_WORDS words, and pairs of blocks are dealt out, so no task holds more than
+   two blocks and no pair leaves its task: it returns counts by text, and a spanning forest.
 4. Components of the forests are the near-duplicate classes.
 
-Work on a group of m different texts grows with m * m / BLOCK rows moved; that is the price of
-exact link counts. Copies cost nothing there.
+A cell of m different texts moves m * m / BLOCK rows; that is the price of exact link counts.
+Copies cost nothing there. Hot buckets, classes, texts and ids are salted in joins and combined
+before shuffles.
 
 Nulls and texts without words link to nothing; each is its own class. A text of fewer than `k`
-words has one gram, all its words. Rows that repeat are copies of each other. Null ids are
-allowed. An empty table gives an empty result. All other columns are left alone.
+words has one gram, all its words. Rows that repeat are copies of each other. Classes are of texts,
+not of ids: null and repeated ids are allowed, and rows that share an id but no text are apart.
+An empty table gives an empty result. All other columns are left alone.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import tables, textcore
-from millrace.llm.components import components, salted_join
+from millrace.llm.components import SALTS, components, salted_join
 
 K, THRESHOLD, RECALL = 5, 0.8, 0.9999
 MOST_HASHES = 128
-BLOCK = 128
+BLOCK, BLOCK_WORDS = 128, 2_000_000
+#: Texts that have a word, by the definition of textcore.
+WORDY = "[0-9A-Za-z\u0080-\U0010ffff]"
 
 
 def choose_bands(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -48,13 +54,14 @@ def choose_bands(threshold: float, recall: float = RECALL, most: int = MOST_HASH
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """rid: the document's id, or a hash of its text where that is null; tid: a hash of the text."""
-    tid = F.xxhash64("text")
-    return docs.withColumns({"_rid": F.coalesce(F.col("doc_id").cast("long"), tid), "_tid": tid})
+    """_tid: a hash of the text; _rid: the document's id, or another hash of its text where that is
+    null. Rows equal in both are taken for the same document."""
+    return docs.withColumns({"_rid": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(1))), "_tid": F.xxhash64("text")})
 
 
 def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """rid, tid, doc_id, node (hash of the word sequence; null without words), bands."""
+    """rid, tid, doc_id, salt (0 to SALTS - 1 in turn), node and check (hashes of the word sequence;
+    null without words), size (words), bands."""
     rng = np.random.default_rng(20240229)
     factors = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     terms = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -64,7 +71,7 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             texts = whole.column("text").to_pylist()
             for a, b in textcore.batches(texts):
                 w = textcore.words(texts[a:b])
-                grams, offsets, _ = textcore.ngrams(w, k)
+                grams, offsets = textcore.ngrams(w, k)
                 full = np.flatnonzero(np.diff(offsets))
                 out = np.zeros((b - a, bands), np.uint64)
                 if len(full):
@@ -77,29 +84,38 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                         out[full, i] = h
                 none = np.ones(b - a, bool)
                 none[full] = False
-                nodes = pa.array(textcore.text_hashes(w).view(np.int64), mask=none)
+                node, check = (pa.array(textcore.text_hashes(w, h).view(np.int64), mask=none) for h in (w.hashes, w.others()))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands), pa.int32()), pa.array(out.view(np.int64).ravel()))
                 own = whole.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([own.column("_rid"), own.column("_tid"), own.column("doc_id"), nodes, lists], ["rid", "tid", "doc_id", "node", "bands"])
+                columns = [*(own.column(c) for c in ("_rid", "_tid", "doc_id")), pa.array(np.arange(a, b) % SALTS, pa.int32()), node, check, pa.array(w.counts()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "tid", "doc_id", "salt", "node", "check", "size", "bands"])
 
-    return _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "rid long, tid long, doc_id long, node long, bands array<long>")
+    made = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return made.mapInArrow(run, "rid long, tid long, doc_id long, salt int, node long, check long, size long, bands array<long>")
 
 
-def gram_sets(docs: DataFrame, k: int) -> DataFrame:
-    """Adds `grams`, the sorted distinct n-gram hashes as bytes, where `node` is the text's hash."""
+def _apart(made: DataFrame) -> DataFrame:
+    """Gives texts of equal `node` but another `check` a node of their own."""
+    clash = tables.saved(made.filter("node is not null").groupBy("node").agg(F.min("check").alias("own"), F.max("check").alias("other")).filter("own <> other").select("node", "own"), "clash")
+    if clash.isEmpty():
+        return made
+    return made.join(clash, "node", "left").withColumn("node", F.when(F.col("own") == F.col("check"), F.col("node")).otherwise(F.when(F.col("own").isNotNull(), F.xxhash64("node", "check")).otherwise(F.col("node")))).drop("own")
+
+
+def gram_sets(texts: DataFrame, k: int) -> DataFrame:
+    """Adds `grams`, the sorted distinct n-gram hashes as bytes, in place of `text`."""
+    kept = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             texts = whole.column("text").to_pylist()
             for a, b in textcore.batches(texts):
-                w = textcore.words(texts[a:b])
-                grams, offsets, _ = textcore.ngrams(w, k)
-                same = np.flatnonzero(textcore.text_hashes(w).view(np.int64) == whole.column("node").to_numpy()[a:b])
-                sets = [np.unique(grams[offsets[i] : offsets[i + 1]]).tobytes() for i in same.tolist()]
-                own = whole.slice(a, b - a).take(pa.array(same))
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("node", "root", "copies", "blocks")), pa.array(sets, pa.binary())], ["node", "root", "copies", "blocks", "grams"])
+                grams, offsets = textcore.ngrams(textcore.words(texts[a:b]), k)
+                sets = [np.unique(grams[i:j]).tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(whole.column(c).slice(a, b - a) for c in kept), pa.array(sets, pa.binary())], [*kept, "grams"])
 
-    return docs.select("node", "root", "copies", "blocks", "text").mapInArrow(run, "node long, root long, copies long, blocks long, grams binary")
+    schema = texts.select(*kept).withColumn("grams", F.lit(b"")).schema
+    return texts.mapInArrow(run, schema)
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -113,7 +129,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     column = np.cumsum(new) - 1
     often = np.bincount(column)[column] > 1
     owner, column = owner[often], column[often]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n))  # a product of `wide` columns is exact in 32 bits, their sum in 64
     if len(column):
         column = np.concatenate(([0], np.cumsum(column[1:] != column[:-1])))
         wide = 4096
@@ -126,17 +142,21 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    def links(rows: dict[int, tuple], lo: int, hi: int) -> pa.RecordBatch | None:
-        nodes = np.array(list(rows), np.int64)
-        copies = np.array([r[0] for r in rows.values()])
-        block = np.array([r[1] for r in rows.values()])
-        sets = [np.frombuffer(r[2], np.uint64) for r in rows.values()]
+    def links(held: dict[int, tuple], cell: tuple) -> pa.RecordBatch | None:
+        _, band, lo, hi = cell
+        nodes = np.array(list(held), np.int64)
+        copies, block, sets, bands = zip(*held.values(), strict=True)
+        copies, block, sets = np.array(copies), np.array(block), [np.frombuffer(x, np.uint64) for x in sets]
         size = np.array([len(s) for s in sets])
         shared = intersections(sets)
         near = shared >= threshold * (size[:, None] + size - shared) - 1e-9
         np.fill_diagonal(near, False)
         if lo != hi:
             near &= block[:, None] != block
+        if band >= 0:
+            own = np.array(bands)
+            for i in range(band):  # such a pair counts in an earlier bucket
+                near &= own[:, None, i] != own[:, i]
         some = near.any(axis=1)
         if not some.any():
             return None
@@ -151,60 +171,90 @@ def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
         for batch in batches:
-            for root, lo, hi, node, copies, block, grams in zip(*(batch.column(c).to_pylist() for c in ("root", "lo", "hi", "node", "copies", "block", "grams")), strict=True):
-                if (root, lo, hi) != now:
-                    if len(held) > 1 and (out := links(held, now[1], now[2])):
+            for *cell, node, copies, block, grams, bands in zip(*(batch.column(c).to_pylist() for c in ("cell", "band", "lo", "hi", "node", "copies", "block", "grams", "bands")), strict=True):
+                if cell != now:
+                    if len(held) > 1 and (out := links(held, now)):
                         yield out
-                    now, held = (root, lo, hi), {}
-                held[node] = (copies, block, grams)
-        if len(held) > 1 and (out := links(held, now[1], now[2])):
+                    now, held = cell, {}
+                held[node] = (copies, block, grams, bands)
+        if len(held) > 1 and (out := links(held, now)):
             yield out
 
     return run
 
 
+def _blocks(m: str, words: str):
+    return F.greatest(F.ceil(F.col(m) / BLOCK), F.ceil(F.col(words) / BLOCK_WORDS), F.lit(1).cast("long"))
+
+
+def cells(one: DataFrame) -> DataFrame:
+    """The cells in which pairs are verified: cell, band (-1 for a whole group), node, blocks, bands
+    (only for a bucket). `one`: node, size, bands."""
+    every = one.select("node", "size", F.posexplode("bands").alias("band", "h"))
+    buckets = tables.saved(every.groupBy("h").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).filter("n > 1"), "buckets")
+    shared = salted_join(every, buckets, "h", "node")
+    found = components(shared.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    roots = found.select("root").distinct().select(F.col("root").alias("node"), "root")
+    member = tables.saved(found.unionByName(roots).join(one.select("node", "size"), "node"), "members")
+    sums = member.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("words")).withColumn("blocks", _blocks("m", "words"))
+    cost = buckets.withColumn("moved", F.col("n") * _blocks("n", "words")).join(member.select(F.col("node").alias("least"), "root"), "least").groupBy("root").agg(F.sum("moved").alias("moved"))
+    # A group of one block is a cell at any rate, so only large ones are compared.
+    chained = tables.saved(sums.filter("blocks > 1").join(cost, "root").filter(F.col("m") * F.col("blocks") > F.col("moved")).select("root", F.lit(True).alias("chained")), "chained")
+    whole = salted_join(member, sums, "root", "node").select("node", "root", "blocks")
+    none = F.lit(None).cast("array<long>")
+    if chained.isEmpty():
+        return whole.select(F.col("root").alias("cell"), F.lit(-1).alias("band"), "node", "blocks", none.alias("bands"))
+    whole = whole.join(chained, "root", "left")
+    dense = whole.filter("chained is null").select(F.col("root").alias("cell"), F.lit(-1).alias("band"), "node", "blocks", none.alias("bands"))
+    sparse = whole.filter("chained").select("node").join(one.select("node", "bands"), "node")
+    sparse = sparse.select("node", "bands", F.posexplode("bands").alias("band", "h"))
+    parts = salted_join(sparse, buckets, "h", "node").select(F.col("h").alias("cell"), "band", "node", _blocks("n", "words").alias("blocks"), "bands")
+    return dense.unionByName(parts)
+
+
 def classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """A row per document: rid, tid, doc_id, copy_of (least id of the same text), root (its
-    near-duplicate class), texts (links to different texts), links (to other documents)."""
+    """A row per document: rid, tid, doc_id, wordless, copy_of (least id of the same text), root (its
+    class; null without words), class_id (least id of its class), texts (links to different texts),
+    links (to other documents). Classes of documents that share ids may share a class_id, never a
+    root."""
     n = tables.partitions(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
-    made = tables.saved(sketches(docs, k, bands, rows), "sketches")
-    one = made.filter("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    one = tables.saved(one, "classes")
-    hashes = one.select("node", F.explode("bands").alias("h"))
-    buckets = hashes.groupBy("h").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = components(hashes.join(buckets, "h").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    roots = groups.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("m"))
-    members = salted_join(groups.unionByName(roots.select(F.col("root").alias("node"), "root")), roots, "root", "node").select("node", "root", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    wanted = one.select("node", "rid", "copies").join(members, "node")
-    texts = _keyed(docs.select("doc_id", "text")).select(F.col("_rid").alias("rid"), "text").join(wanted, "rid")
-    sets = gram_sets(texts, k).withColumn("block", F.pmod(F.xxhash64("node", "root"), F.col("blocks")))
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "copies", "block", "grams")
-    dealt = pairs.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
-    found = tables.saved(dealt.mapInArrow(_verify(threshold), "node long, texts long, docs long, least long"), "links")
+    made = _apart(tables.saved(sketches(docs, k, bands, rows), "sketches"))
+    one = made.filter("node is not null").groupBy("node").agg(F.min(F.struct("rid", "tid")).alias("own"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    one = tables.saved(one.select("node", "own.rid", "own.tid", "copies", "size", "bands"), "classes")
+    dealt = tables.saved(cells(one), "cells")
+    wanted = one.select("node", "rid", "tid", "copies").join(dealt.select("node").distinct(), "node")
+    # Combined by key first, repeated rows come once, whatever their number.
+    texts = _keyed(docs.select("doc_id", "text")).filter(F.col("text").rlike(WORDY)).groupBy(F.col("_rid").alias("rid"), F.col("_tid").alias("tid")).agg(F.first("text").alias("text"))
+    sets = tables.saved(gram_sets(texts.join(wanted, ["rid", "tid"]).select("node", "copies", "text"), k), "grams")
+    placed = sets.join(dealt, "node").withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cell", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "copies", "block", "grams", "bands")
+    key = ["cell", "band", "lo", "hi"]
+    found = tables.saved(pairs.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_verify(threshold), "node long, texts long, docs long, least long"), "links")
     near = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     counts = found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     whole = one.select("node", "rid", "copies").join(counts, "node", "left").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = whole.groupBy("root").agg(F.min("rid").alias("class_rid"))
-    whole = salted_join(whole, least, "root", "node").select("node", F.col("rid").alias("copy_of"), "copies", "texts", "docs", "class_rid")
+    least = whole.groupBy("root").agg(F.min("rid").alias("class_id"))
     zero = F.lit(0).cast("long")
-    return made.join(whole, "node", "left").select(
-        "rid", "tid", "doc_id", F.coalesce("copy_of", "rid").alias("copy_of"), F.coalesce("class_rid", "rid").alias("class_id"),
-        F.coalesce("texts", zero).alias("texts"), (F.coalesce("docs", zero) + F.coalesce("copies", F.lit(1).cast("long")) - 1).alias("links"), F.col("node").isNull().alias("wordless"),
-    )
+    whole = salted_join(whole, least, "root", "node").select("node", F.col("rid").alias("copy_of"), "root", "class_id", F.coalesce("texts", zero).alias("texts"), (F.coalesce("docs", zero) + F.col("copies") - 1).alias("links"))
+    columns = ["rid", "tid", "doc_id", "wordless", "copy_of", "root", "class_id", "texts", "links"]
+    # The rows of one text are dealt out by the salt that they were written with.
+    copies = whole.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    worded = made.filter("node is not null").join(copies, ["node", "salt"]).withColumn("wordless", F.lit(False)).select(*columns)
+    bare = made.filter("node is null").withColumns({"wordless": F.lit(True), "copy_of": F.col("rid"), "root": F.lit(None).cast("long"), "class_id": F.col("rid"), "texts": zero, "links": zero}).select(*columns)
+    return worded.unionByName(bare)
 
 
 def keep_one(docs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each near-duplicate class, the one of least id; texts without words stay."""
     made = classes(docs, k, threshold)
-    first = made.filter("not wordless").groupBy("class_id").agg(F.min(F.struct("rid", "tid")).alias("f")).select(F.col("f.rid").alias("_rid"), F.col("f.tid").alias("_tid"))
-    bare = made.filter("wordless").select(F.col("rid").alias("_rid"), F.col("tid").alias("_tid"))
+    first = made.filter("not wordless").groupBy("root").agg(F.min(F.struct("rid", "tid")).alias("f")).select(F.col("f.rid").alias("_rid"), F.col("f.tid").alias("_tid"))
+    wordy = F.coalesce(F.col("text").rlike(WORDY), F.lit(False))
     keyed = _keyed(tables.wrapped(docs))
-    kept = keyed.join(first, ["_rid", "_tid"], "left_semi").dropDuplicates(["_rid", "_tid"])
-    plain = keyed.join(bare.distinct(), ["_rid", "_tid"], "left_semi")
-    return tables.unwrapped(kept.unionByName(plain), docs.columns)
+    kept = keyed.filter(wordy).dropDuplicates(["_rid", "_tid"]).join(first, ["_rid", "_tid"], "left_semi")
+    return tables.unwrapped(kept.unionByName(keyed.filter(~wordy)), docs.columns)
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classes(docs).select("doc_id", "class_id", F.col("links").alias("n_links"), F.col("texts").alias("n_text_links"), "copy_of")
+    return classes(docs).select("doc_id", "class_id", F.col("links").alias("n_links"), F.col("texts").alias("n_text_links"), "copy_of", F.col("root").alias("class_key"))

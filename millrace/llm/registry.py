@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scans": licenses.oracle(),
+    "op5_decontamination": decontaminate.ORACLE,
     "op10_exact_topk": topk.ORACLE,
 }

@@ -3,7 +3,8 @@
 A word is a maximal run of ASCII digits, ASCII letters and characters beyond ASCII, after
 lower-casing A-Z only. In UTF-8 every byte of a character beyond ASCII is 0x80 or more, so
 the runs can be found on bytes. Hashes are polynomial over the ring of 64-bit integers: a
-prefix sum gives the hash of every span at once, without a Python loop over words.
+prefix sum gives the hash of every span at once, without a Python loop over words. Sums are taken
+over bounded chunks, so a very long text costs a few bytes of memory per byte.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))
+_BASE_2 = 0xA0761D6478BD642F | 1
+_LETTER_2 = mix(np.arange(1, 257, dtype=np.uint64) * _U(_BASE_2))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, dtype=bool)
@@ -37,14 +40,16 @@ _IS_WORD[48:58] = True
 _IS_WORD[97:123] = True
 _IS_WORD[128:] = True
 
+#: Values whose prefix sums are held at once.
+_CHUNK = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, and doubled when too short."""
+    """base**0 .. base**(n-1) modulo 2**64, n at most _CHUNK + 1; kept, and doubled when too short."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1024, 1 << max(0, n - 1).bit_length())
+        size = max(1024, min(1 << max(0, n - 1).bit_length(), _CHUNK + 1))
         have = np.full(size, _U(base))
         have[0] = 1
         with np.errstate(over="ignore"):
@@ -53,26 +58,28 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _span_hashes(values: np.ndarray, base: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of values[first:last] for every span."""
-    n = len(values)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * powers(base, n), out=prefix[1:])
-    inverse = powers(pow(base, -1, 1 << 64), n + 1)
-    return mix((prefix[last] - prefix[first]) * inverse[first] + (last - first).astype(np.uint64))
+def _power(base: int, n: int) -> np.uint64:
+    return _U(pow(base, int(n), 1 << 64))
 
 
-def prefix_sums(hashes: np.ndarray) -> np.ndarray:
-    prefix = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * powers(_WORD_BASE, len(hashes)), out=prefix[1:])
-    return prefix
-
-
-def span_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
-    """Hash of the words first..last of every span."""
-    prefix = prefix_sums(hashes) if prefix is None else prefix
-    inverse = powers(pow(_WORD_BASE, -1, 1 << 64), len(hashes) + 1)
-    return mix((prefix[last] - prefix[first]) * inverse[first] + (last - first).astype(np.uint64))
+def _hashes(values, n: int, base: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of values[first:last] for disjoint spans in order; values(a, b) gives those of a..b-1.
+    Only _CHUNK values are held at once; a span over several chunks is summed up."""
+    out = np.zeros(len(first), np.uint64)
+    back = pow(base, -1, 1 << 64)
+    for begin in range(0, n, _CHUNK):
+        end = min(begin + _CHUNK, n)
+        i, j = np.searchsorted(last, begin, side="right"), np.searchsorted(first, end)
+        if i >= j:
+            continue
+        prefix = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum(values(begin, end) * powers(base, end - begin), out=prefix[1:])
+        a, b = np.maximum(first[i:j], begin) - begin, np.minimum(last[i:j], end) - begin
+        part = (prefix[b] - prefix[a]) * powers(back, end - begin + 1)[a]
+        if first[i] < begin:
+            part[:1] *= _power(base, begin - first[i])
+        out[i:j] += part
+    return mix(out + (last - first).astype(np.uint64))
 
 
 @dataclass
@@ -84,7 +91,6 @@ class Words:
     first: np.ndarray
     last: np.ndarray
     data: np.ndarray
-    prefix: np.ndarray
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -95,15 +101,21 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.first[i] : self.last[i]].tobytes()
 
+    def others(self) -> np.ndarray:
+        """Hashes of the words that don't depend on the first ones."""
+        return _word_hashes(self.data, self.first, self.last, _LETTER_2, _BASE_2)
+
 
-def _between(prefix: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    inverse = powers(pow(_BASE, -1, 1 << 64), len(prefix))
-    return mix((prefix[last] - prefix[first]) * inverse[first] + (last - first).astype(np.uint64))
+def byte_starts(w: Words, first: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n lower-cased bytes from each of `first` on."""
+    out = np.full(len(first), _U(n))
+    for i in range(n):
+        out += _LETTER[w.data[first + i]] * _power(_BASE, i)
+    return mix(out)
 
 
-def byte_spans(w: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of the lower-cased bytes first..last of every span of the batch."""
-    return _between(w.prefix, first, last)
+def _word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, letter: np.ndarray, base: int) -> np.ndarray:
+    return _hashes(lambda a, b: letter[data[a:b]], len(data), base, first, last)
 
 
 def words(texts: list[str | None]) -> Words:
@@ -111,41 +123,61 @@ def words(texts: list[str | None]) -> Words:
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter((len(p) + 1 for p in parts), dtype=np.int64, count=len(parts))
     data = _LOWER[np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8)]
+    del parts
     inside = _IS_WORD[data]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edge = np.concatenate(([0], edge))
-    first, last = edge[0::2], edge[1::2]
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_LETTER[data] * powers(_BASE, len(data)), out=prefix[1:])
-    hashes = _between(prefix, first, last)
-    ends = np.cumsum(sizes)
-    offsets = np.concatenate(([0], np.searchsorted(first, ends))).astype(np.int64)
-    return Words(hashes, offsets, first, last, data, prefix)
+    first, last = np.ascontiguousarray(edge[0::2]), np.ascontiguousarray(edge[1::2])
+    hashes = _word_hashes(data, first, last, _LETTER, _BASE)
+    offsets = np.concatenate(([0], np.searchsorted(first, np.cumsum(sizes)))).astype(np.int64)
+    return Words(hashes, offsets, first, last, data)
+
+
+def every_span(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each word on, across the borders of texts too."""
+    m = len(hashes) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(m, _U(n))
+    for i in range(n):
+        out += hashes[i : i + m] * _power(_WORD_BASE, i)
+    return mix(out)
 
 
-def ngrams(w: Words, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of k consecutive words, in order; offsets by text; the first word of each.
+def span_hashes(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each of `at` on."""
+    out = np.full(len(at), _U(n))
+    for i in range(n):
+        out += hashes[at + i] * _power(_WORD_BASE, i)
+    return mix(out)
+
+
+def ngrams(w: Words, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of k consecutive words, in order, and offsets by text.
 
     A text of fewer than k words, but not none, gives one gram of all its words if `short`."""
     counts = w.counts()
-    grams = np.maximum(counts - k + 1, 0)
-    if short:
-        grams = np.where((counts > 0) & (counts < k), 1, grams)
+    few = (counts > 0) & (counts < k) if short else np.zeros(len(counts), bool)
+    grams = np.where(few, 1, np.maximum(counts - k + 1, 0))
     offsets = np.concatenate(([0], np.cumsum(grams)))
-    total = int(offsets[-1])
-    at = np.arange(total, dtype=np.int64) - np.repeat(offsets[:-1], grams) + np.repeat(w.offsets[:-1], grams)
-    end = np.minimum(at + k, np.repeat(w.offsets[1:], grams))
-    if not total:
-        return np.zeros(0, np.uint64), offsets, at
-    return _span_hashes(w.hashes, _WORD_BASE, at, end), offsets, at
-
-
-def text_hashes(w: Words) -> np.ndarray:
+    out = np.empty(int(offsets[-1]), np.uint64)
+    whole = np.repeat(~few, grams)
+    every = every_span(w.hashes, k)
+    begins = np.zeros(len(every) + 1, np.int8)  # words that k words of the same text begin with
+    many = counts >= k
+    np.add.at(begins, w.offsets[:-1][many], 1)
+    np.add.at(begins, w.offsets[1:][many] - k + 1, -1)
+    out[whole] = every[np.cumsum(begins[:-1], dtype=np.int8) > 0]
+    if few.any():
+        out[~whole] = _hashes(lambda a, b: w.hashes[a:b], len(w.hashes), _WORD_BASE, w.offsets[:-1], w.offsets[1:])[few]
+    return out, offsets
+
+
+def text_hashes(w: Words, hashes: np.ndarray | None = None) -> np.ndarray:
     """One hash of each text's whole word sequence; texts without words share one."""
-    if not len(w.hashes):
-        return np.zeros(len(w), np.uint64)
-    return _span_hashes(w.hashes, _WORD_BASE, w.offsets[:-1], w.offsets[1:])
+    h = w.hashes if hashes is None else hashes
+    return _hashes(lambda a, b: h[a:b], len(h), _WORD_BASE, w.offsets[:-1], w.offsets[1:])
 
 
 def shuffle(x: np.ndarray, factor: np.uint64, term: np.uint64) -> np.ndarray:
@@ -157,12 +189,12 @@ def shuffle(x: np.ndarray, factor: np.uint64, term: np.uint64) -> np.ndarray:
     return y
 
 
-def batches(texts: list[str | None], most: int = 1_500_000):
-    """Ranges of texts of about `most` characters each; a longer text is alone in its range."""
+def batches(texts: list[str | None], most: int = 1_500_000, rows: int = 4096):
+    """Ranges of at most `rows` texts of about `most` characters; a longer text is alone in its range."""
     begin, held = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
-        if i > begin and held + n > most:
+        if i > begin and (held + n > most or i - begin == rows):
             yield begin, i
             begin, held = i, 0
         held += n

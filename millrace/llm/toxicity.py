@@ -231,7 +231,7 @@ def features(texts: list[str | None], restorer: Restorer, wanted: np.ndarray | N
     for n in (0, *STARTS):
         if n:
             longer = np.flatnonzero(w.last - w.first > n)
-            hashes = textcore.byte_spans(w, w.first[longer], w.first[longer] + n) ^ np.uint64(n << 56 | n << 43)
+            hashes = textcore.byte_starts(w, w.first[longer], n) ^ np.uint64(n << 56 | n << 43)
             text = owner[longer]
         else:
             hashes, text = w.hashes, owner

@@ -1,6 +1,7 @@
 """Operators on words: decontamination, similarity join, licences, quality, toxicity."""
 
 import collections
+import hashlib
 import random
 import re
 import textwrap
@@ -28,11 +29,23 @@ def test_words_and_hashes():
     assert [[w.word(i).decode() for i in range(a, b)] for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)] == [[x.lower() if x.isascii() else x for x in words(t)] for t in texts]
     same = textcore.words(["x ab", "ab"]).hashes
     assert same[1] == same[2] and len(set(same.tolist())) == 2
-    grams, offsets, _ = textcore.ngrams(w, 2)
+    grams, offsets = textcore.ngrams(w, 2)
     assert np.diff(offsets).tolist() == [3, 0, 0, 0, 1, 3]
     assert grams[offsets[4]] == grams[offsets[5]] == grams[offsets[5] + 2]
 
 
+def test_hashes_of_chunks_and_whole_texts_agree(monkeypatch):
+    texts = [prose(i, 3 * i) + "é日" * i for i in range(30)] + ["x" * 300 + " y", None]
+    whole = textcore.words(texts)
+    grams, text, other = textcore.ngrams(whole, 5), textcore.text_hashes(whole), whole.others()
+    monkeypatch.setattr(textcore, "_CHUNK", 11)
+    monkeypatch.setattr(textcore, "_powers", {})
+    parts = textcore.words(texts)
+    assert (parts.hashes == whole.hashes).all() and (parts.others() == other).all() and not (other == whole.hashes).any()
+    assert (textcore.ngrams(parts, 5)[0] == grams[0]).all() and (textcore.text_hashes(parts) == text).all()
+    assert (textcore.span_hashes(whole.hashes, np.arange(50), 5) == textcore.every_span(whole.hashes, 5)[:50]).all()
+
+
 def expected_hits(text, items, window=10):
     w, hit, found = words(text), set(), set()
     for item, t in items:
@@ -53,12 +66,14 @@ def test_decontamination(spark, awkward, block):
     items = [(1, " ".join(base[:30])), (2, " ".join(base[20:60])), (2, "tail words " + prose(8, 12)), (3, "two words"), (4, None), (5, ""), (None, " ".join(base[100:130])), (6, " ".join(base[200:209])), (12, " ".join(["an"] * 14))]
     texts = [" ".join(base[5:14]), " ".join(base[5:15]), "X " + " ".join(base[0:60]).upper() + " y", "two words. two-words", " ".join(["an"] * 40), " ".join(base[195:215]), " ".join(base), None, ""]
     texts += [" ".join(r.choice([" ".join(base[k : k + r.randint(3, 14)]), prose(k, 5)]) for k in [r.randint(0, 380) for _ in range(20)]) for _ in range(20)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"items": F.lit(1), "_n": F.lit("x")}).select("doc_id", "text")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {x["doc_id"]: x for x in decontaminate.mark(docs, bench, block_windows=block).collect()}
+    got = {x["doc_id"]: x for x in decontaminate.mark(docs, bench, most_windows=block).collect()}
     for i, t in enumerate(texts):
         n, hit, found = expected_hits(t, items)
         assert (got[i]["n_words"], sum(s["after"] - s["first"] for s in got[i]["hit_spans"]), set(got[i]["items"])) == (n, hit, found), t
+    clash = decontaminate.mark(docs.withColumns({"items": F.lit(1), "n_words": F.lit("x"), "_k1": F.lit(0)}), bench, most_windows=block)
+    assert clash.columns == ["doc_id", "text", "_k1", "n_words", "hit_spans", "items"] and clash.filter("size(items) > 0").count() > 5
     kept = decontaminate.clean(awkward, bench)
     assert kept.columns == awkward.columns and kept.count() == awkward.count()
     assert decontaminate.clean(awkward, bench.limit(0)).count() == awkward.count()
@@ -126,6 +141,47 @@ def test_similarity_join(spark, monkeypatch):
     assert sorted(kept) == sorted(set(classes))
 
 
+def test_unlike_texts_of_one_id_are_kept(spark):
+    texts = []
+    for i in range(150):
+        w = prose(1000 + i, 60).split()
+        texts += [" ".join(w), " ".join([*w, "end"])]
+    for ids in ([1] * 300, [None] * 300, [i % 3 for i in range(300)]):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        kept = [x["text"] for x in jaccard.keep_one(docs).collect()]
+        assert sorted(t.removesuffix(" end") for t in kept) == sorted(t for t in texts if not t.endswith(" end"))
+        assert {x["links"] for x in jaccard.classes(docs).collect()} == {1}
+
+
+def test_hot_texts_buckets_and_chains(spark, monkeypatch):
+    """Many copies under one id, and a chain of texts that are alike in part, in cells of buckets."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    chosen = []
+    cells = jaccard.cells
+    monkeypatch.setattr(jaccard, "cells", lambda one: chosen.append(cells(one)) or chosen[-1])
+    base = words(prose(77, 2000))
+    texts = [" ".join(base[12 * i : 12 * i + 60]) for i in range(60)] + [" ".join(base[4 * i + 900 : 4 * i + 960]) for i in range(20)]
+    many = [(7, texts[0])] * 400 + [(None, texts[1])] * 400
+    docs = spark.createDataFrame(list(enumerate(texts)) + many, "doc_id long, text string")
+    got = jaccard.classes(docs).collect()
+    assert len(got) == len(texts) + 800
+    classes, links = near(texts)
+    copies = collections.Counter(t for _, t in many)
+    own = {x["doc_id"]: x for x in got if x["doc_id"] is not None and x["copy_of"] == x["doc_id"] and not (x["doc_id"] == 7 and x["texts"] != links[7])}
+    assert [own[i]["texts"] for i in range(2, len(texts))] == links[2:]
+    roots = {}
+    assert all(roots.setdefault(own[i]["root"], classes[i]) == classes[i] for i in range(2, len(texts)))
+    assert max(chosen[0].select("band").distinct().toPandas()["band"]) >= 0 and sum(copies.values()) == 800
+    kept = jaccard.keep_one(docs).collect()
+    assert len(kept) == len(set(classes))
+
+
+def test_texts_of_equal_hash_are_apart(spark):
+    made = spark.createDataFrame([(1, 10), (1, 10), (1, 20), (2, 30), (None, None)], "node long, check long")
+    got = [(x["node"], x["check"]) for x in jaccard._apart(made).collect()]
+    assert len({n for n, _ in got}) == 4 and {c for n, c in got if n == 1} == {10} and (2, 30) in got and (None, None) in got
+
+
 def test_similarity_join_of_awkward_rows(awkward, no_docs):
     kept = jaccard.keep_one(awkward)
     assert kept.columns == awkward.columns
@@ -282,6 +338,22 @@ def test_toxicity(spark, awkward, no_docs):
     assert toxicity.keep_clean(docs, marks.limit(0)).count() == len(rows)
 
 
+def test_decontamination_query(spark, write):
+    base = words(prose(9, 400))
+    items = [(1, " ".join(base[:30])), (10, " ".join(base[5:40])), (2, "tail words"), (None, " ".join(base[100:130])), (4, None), (5, "")]
+    texts = [(1, " ".join(base[:50])), (1, " ".join(base[:50])), (None, "Tail WORDS tail"), (3, None), (4, ""), (5, "x " + " ".join(base[95:140])), (6, prose(3, 3000))]
+    folder = write(documents=spark.createDataFrame(texts, "doc_id long, text string").withColumn("items", F.lit(0)), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    got = decontaminate.op5_decontamination(spark, folder)
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    said = c.sql(registry.ORACLE_SQL["op5_decontamination"])
+    assert got.columns == said.columns
+    rows = sorted(map(tuple, got.collect()), key=str)
+    assert rows == sorted(said.fetchall(), key=str)
+    assert rows == sorted(((d, *expected_hits(t, [(i or "x", s) for i, s in items])[:2], len(f := expected_hits(t, items)[2]), hashlib.sha256(",".join(sorted(f)).encode()).hexdigest(), expected_hits(t, [(i or "x", s) for i, s in items])[1] > 0) for d, t in texts), key=str)
+
+
 def test_items_without_an_id_are_hit(spark):
     base = prose(9, 40)
     docs = spark.createDataFrame([(1, "x " + base + " y"), (2, prose(10, 40))], "doc_id long, text string")
