@@ -70,7 +70,7 @@ def format_chat(turns: DataFrame, vocabulary: str) -> DataFrame:
     conversation's ids, ids (little-endian unsigned 32-bit), mask (a byte per id), formatted text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding.encoder(vocabulary)
+        enc = encoding.encoder(vocabulary, specials=False)
         first_free = enc.tokenizer.get_vocab_size(with_added_tokens=True)
         start_id, end_id = (int(first_free + i).to_bytes(4, "little") for i in (0, 1))
         line = enc.encode(["\n"])[0]

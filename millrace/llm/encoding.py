@@ -52,14 +52,15 @@ def vocabulary_size(path: str) -> int:
 
 
 class Encoder:
-    """Encodes texts with the tokenizer at `path`; special tokens are never added or parsed.
+    """Encodes texts with the tokenizer at `path`; special tokens are never added. Added tokens that
+    occur in a text become their ids, as in the library, or with `specials` off plain text.
 
-    Cuts. A byte-level encoder cuts before each space that a visible character follows: its
+    Cuts. Texts are cut at added tokens first, each part being a text of its own to the library. A byte-level encoder cuts before each space that a visible character follows: its
     splitting rule gives the last space before a word to that word, whatever stands before. An
     encoder that drops white space cuts at all white space. Any other encoder gets whole texts.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, specials: bool = True):
         import json
 
         import regex
@@ -67,8 +68,13 @@ class Encoder:
 
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         rules = json.loads(self.tokenizer.to_str())
+        added = {t["content"]: t for t in rules.get("added_tokens") or [] if specials}
+        self.added_ids = {c: int(t["id"]).to_bytes(4, "little") for c, t in added.items()}
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.whole_added = any(t[f] for t in added.values() for f in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.library = Tokenizer.from_file(path) if self.whole_added else None
+        self.tokenizer.encode_special_tokens = True
         self.kind = self._kind(rules)
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -168,6 +174,20 @@ class Encoder:
             pa.default_memory_pool().release_unused()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
+        if self.added is None:
+            return self._plain(texts)
+        has = pc.match_substring_regex(pa.array([t or "" for t in texts], pa.large_string()), "|".join(map(re.escape, self.added_ids))).to_pylist()
+        if not any(has):
+            return self._plain(texts)
+        if self.whole_added:
+            marked = iter(self._learn(self.library, [t for t, h in zip(texts, has, strict=True) if h]))
+            plain = iter(self._plain([t for t, h in zip(texts, has, strict=True) if not h]))
+            return [next(marked if h else plain) for h in has]
+        parts = [self.added.split(t) if h else [t] for t, h in zip(texts, has, strict=True)]
+        ids = iter(self._plain([p for x in parts for p in x[::2]]))
+        return [b"".join([next(ids) if i % 2 == 0 else self.added_ids[p] for i, p in enumerate(x)]) for x in parts]
+
+    def _plain(self, texts: list[str | None]) -> list[bytes]:
         if self.kind == "whole":
             return self._learn(self.tokenizer, [t or "" for t in texts])
         array = pa.array([t or "" for t in texts], pa.large_string())
@@ -198,11 +218,11 @@ class Encoder:
         return [b"".join(self.lookup(self.cut(t))) if o else out[a:b].tobytes() for t, o, a, b in zip(texts, odd, bounds[:-1], bounds[1:], strict=True)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, specials: bool = True) -> Encoder:
     """This process's encoder of a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, specials) not in _encoders:
+        _encoders[path, specials] = Encoder(path, specials=specials)
+    return _encoders[path, specials]

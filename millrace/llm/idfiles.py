@@ -10,8 +10,9 @@ A file holds whole documents in order. Layout, all integers little-endian:
 Files are rolled at a bounded number of ids, so a reader holds one file at a time. A writer's
 task writes under a name of its own and renames, so that a task run twice leaves one file.
 
-Nulls: a null text has no ids of its own. Repeated doc ids are kept, ordered by text. An empty
-table gives no files and an empty result.
+Nulls: a null text has no ids of its own; null doc ids come first. Rows of one doc id are kept, in
+the order of a hash of their text; repeated rows may be dealt to several files. An empty table
+gives no files and an empty result.
 """
 
 from __future__ import annotations
@@ -147,7 +148,9 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int | None =
             yield close()
 
     n = tables.partitions(spark)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The rows of one id, and even one row repeated, are ranges of their own where they are many.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"_h": F.xxhash64("text"), "_n": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(n, "doc_id", "_h", "_n").sortWithinPartitions("doc_id", "_h", "_n").select("doc_id", "text")
     wrote = tables.saved(ordered.mapInArrow(run, "file string, part long, seq long, n_ids long"), "manifest")
     parts = wrote.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row per writing task
     base, at = [], 0

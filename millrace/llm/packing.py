@@ -2,12 +2,15 @@
 
 Documents longer than a sequence are cut so that every piece but the first fills a sequence;
 what is left, one piece shorter than a sequence per document, is packed by best-fit decreasing
-in groups of bounded size. Dual-feasible functions give each group a lower bound on its bins.
-A group that meets its bound is done. Any other keeps its full bins and hands the bins with
-gaps, whole, to the next round, where fewer and larger mixes of such bins are packed anew; a
-group that would need more bins than it got keeps them as they were. Rounds end when all groups
-are certified or when a round saves no bin, with several groups not before LEAST_ROUNDS, or after MOST_ROUNDS; what is
-open then stays uncertified.
+in groups of bounded size. Dual-feasible functions give the whole, and each group, a lower bound on
+its bins. Full bins are done. When the bins of all groups together meet the bound of the whole,
+that certifies the result. Otherwise the bins with gaps go, whole, to the next round, where fewer
+and larger mixes of such bins are packed anew; a group that would need more bins than it got keeps
+them as they were, and one that is certified by other than the sum of its lengths is done. Rounds
+end with the certificate, or when a round saves no bin, with several groups not before
+LEAST_ROUNDS, or after MOST_ROUNDS; the result then stays uncertified.
+
+Pieces are dealt by their place in the table, so equal or null ids are spread like any others.
 
 Nulls: a null text is an empty document, of the end id alone. Repeated rows are packed each for
 itself. An empty table gives an empty result.
@@ -15,6 +18,7 @@ itself. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
 from collections.abc import Callable, Iterator
@@ -76,11 +80,15 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = SE
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The most bins that a family of dual-feasible functions proves necessary."""
-    if not len(lengths):
-        return 0
     hist = np.bincount(lengths, minlength=capacity + 1)
     x = np.flatnonzero(hist)
-    n = hist[x]
+    return bound_of(x, hist[x], capacity)
+
+
+def bound_of(x: np.ndarray, n: np.ndarray, capacity: int) -> int:
+    """lower_bound() of n pieces of each length x."""
+    if not len(x):
+        return 0
     best = -(-int((x * n).sum()) // capacity)
     # Sizes over capacity - t count as a whole bin, sizes under t as nothing.
     for t in np.unique(np.concatenate((x[x <= capacity // 2], [1]))):
@@ -132,24 +140,25 @@ def _place(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
 
 
 def _repack(groups: DataFrame, round_no: int, capacity: int) -> DataFrame:
-    """One round. Rows come with `grp` and the bin they had (`old`, null in the first round)."""
+    """One round. Rows are no, length, `grp` and the bin they had (`old`, null in the first round)."""
 
-    def finish(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("payload", "ascending")]) if rows.schema.field("payload").type == pa.int64() else rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        lengths = rows.column("length").to_numpy()
+    def finish(parts: list[pa.Table]) -> pa.RecordBatch:
+        rows = pa.concat_tables(parts)
+        no, lengths, grp = (rows.column(c).to_numpy() for c in ("no", "length", "grp"))
+        order = np.lexsort((no, -lengths))
+        no, lengths = no[order], lengths[order]
         bins = best_fit_decreasing(lengths, capacity)
         had = rows.column("old")
         if had.null_count == 0:
-            old = np.unique(had.to_numpy(), return_inverse=True)[1]
+            old = np.unique(had.to_numpy()[order], return_inverse=True)[1]
             if old.max() <= bins.max():
                 bins = old
         used = int(bins.max()) + 1
-        certified = used <= lower_bound(lengths, capacity)
         filled = np.bincount(bins, weights=lengths, minlength=used)
-        done = np.full(len(bins), True) if certified else (filled == capacity)[bins]
-        ids = (np.int64(round_no) << _ROUND_SHIFT) + (rows.column("grp").to_numpy().astype(np.int64) << _GROUP_SHIFT) + bins
-        out = rows.drop_columns(["grp", "old"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(_place(lengths, bins))).append_column("done", pa.array(done))
-        yield from out.to_batches()
+        closed = -(-int(lengths.sum()) // capacity) < used <= lower_bound(lengths, capacity)
+        done = np.full(len(bins), True) if closed else (filled == capacity)[bins]
+        ids = (np.int64(round_no) << _ROUND_SHIFT) + (np.int64(grp[0]) << _GROUP_SHIFT) + bins
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (no, lengths, ids, _place(lengths, bins), done)], ["no", "length", "sequence_id", "offset", "done"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -161,44 +170,46 @@ def _repack(groups: DataFrame, round_no: int, capacity: int) -> DataFrame:
             cuts = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and held[-1].column("grp")[0] != part.column("grp")[a]:
-                    yield from finish(pa.concat_tables(held).combine_chunks())
+                    yield finish(held)
                     held = []
                 held.append(part.slice(a, b - a))
         if held:
-            yield from finish(pa.concat_tables(held).combine_chunks())
+            yield finish(held)
 
-    kind = groups.schema["payload"].dataType.simpleString()
-    return groups.sortWithinPartitions("grp").mapInArrow(run, f"doc_id long, piece int, start long, length long, payload {kind}, sequence_id long, offset long, done boolean")
+    return groups.sortWithinPartitions("grp").mapInArrow(run, "no long, length long, sequence_id long, offset long, done boolean")
 
 
 def pack(found: DataFrame, capacity: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """Packs pieces (as from pieces()) into sequences: adds sequence_id and offset."""
     spark = found.sparkSession
-    kept = tables.saved(found, "pieces")
+    kept = tables.saved(found.withColumn("no", F.monotonically_increasing_id()), "pieces")
     columns = ["doc_id", "piece", "start", "length", "payload", "sequence_id", "offset"]
-    results = [kept.filter(F.col("length") == capacity).withColumn("offset", F.lit(0).cast("long")).select(columns)]
-    rows = kept.filter(F.col("length") < capacity).withColumn("old", F.lit(None).cast("long")).drop("sequence_id")
-    n, had = rows.count(), None
+    full = kept.filter(F.col("length") == capacity).withColumn("offset", F.lit(0).cast("long")).select(columns)
+    short = kept.filter(F.col("length") < capacity).drop("sequence_id")
+    lengths = np.array([(r["length"], r["n"]) for r in short.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()], dtype=np.int64).reshape(-1, 2)  # at most `capacity` rows
+    least, n = bound_of(lengths[:, 0], lengths[:, 1], capacity), int(lengths[:, 1].sum())
+    rows, placed = short.select("no", "length").withColumn("old", F.lit(None).cast("long")), []
+    before, had = 0, None  # bins done in earlier rounds, bins handed on by the last
     for round_no in itertools.count(1):
         if not n:
             break
         count = -(-n // group)
-        key = F.xxhash64("doc_id", "piece") if round_no == 1 else F.xxhash64("old")
-        dealt = rows.withColumn("grp", F.pmod(key, F.lit(count)).cast("int")).repartition(min(count, tables.partitions(spark) * 8), "grp")
+        dealt = rows.withColumn("grp", F.pmod(F.xxhash64("no" if round_no == 1 else "old"), F.lit(count)).cast("int")).repartition(min(count, tables.partitions(spark) * 8), "grp")
         out = tables.saved(_repack(dealt, round_no, capacity), "packed")
-        results.append(out.filter("done").select(columns))
         # A bin's first piece stands for it.
         first, still = F.col("offset") == 0, ~F.col("done")
         bins, left, n = out.agg(F.count_if(first), F.count_if(first & still), F.count_if(still)).first()
-        if n and (round_no == MOST_ROUNDS or (had is not None and bins >= had and (count == 1 or round_no >= LEAST_ROUNDS))):
-            results.append(out.filter("not done").select(columns))
+        certified = before + bins <= least
+        saved_none = had is not None and bins >= had and (count == 1 or round_no >= LEAST_ROUNDS)
+        if certified or saved_none or round_no == MOST_ROUNDS:
+            placed.append(out.select("no", "sequence_id", "offset"))
             break
-        had = left
-        rows = out.filter("not done").withColumnRenamed("sequence_id", "old").drop("offset", "done")
-    whole = results[0]
-    for r in results[1:]:
-        whole = whole.unionByName(r)
-    return whole
+        placed.append(out.filter("done").select("no", "sequence_id", "offset"))
+        before, had = before + bins - left, left
+        rows = out.filter("not done").select("no", "length", F.col("sequence_id").alias("old"))
+    if not placed:
+        return full
+    return full.unionByName(short.join(functools.reduce(DataFrame.unionByName, placed), "no").select(columns))
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
