@@ -168,7 +168,7 @@ def test_packing_query(spark, marked):
         held.sort()
         assert [o for o, _ in held] == [sum(n for _, n in held[:i]) for i in range(len(held))] and sum(n for _, n in held) <= 2048
     bound = packing.lower_bound(np.array([e[3] for e in expected if e[3] < 2048]), 2048) + sum(e[3] == 2048 for e in expected)
-    assert bound <= len(bins) <= bound + 1
+    assert bound <= len(bins) <= bound + 2  # few pieces, of a third of a sequence
 
 
 def test_id_file_query(spark, marked):
