@@ -1,6 +1,7 @@
 """HTML extraction, exact top-k and the pipeline."""
 
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,49 @@ def test_top_k(spark, n, dim, spread):
     assert topk.top_k(vectors, vectors.limit(0)).count() == 0
 
 
+def test_blocks_are_pruned_before_they_move(spark):
+    r = np.random.default_rng(0)
+    centres = 40 * r.normal(size=(24, 6))
+    x = centres[r.integers(0, 24, 6000)] + 0.1 * r.normal(size=(6000, 6))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
+    vectors = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    log = {}
+    found = topk.top_k(vectors, vectors.filter("vec_id % 10 = 0"), k=3, block=64, query_block=8, log=log)
+    got = {}
+    for q in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(q["query_id"], []).append((-q["score"], q["vec_id"]))
+    ints = np.floor(256 * x).astype(np.int64)
+    scores = ints[::10] @ ints.T
+    for i, own in zip(range(0, 6000, 10), scores, strict=True):
+        assert got[i] == sorted((-int(s), j) for j, s in enumerate(own.tolist()) if j != i)[:3]
+    assert 0 < log["first"] + log["listed"] < 0.1 * log["possible"], log
+
+
+def test_large_components_and_null_ids(spark):
+    big = 2.0**32
+    rows = [(1, [big, 1.0]), (2, [big, 2.0]), (3, [-big, 0.0]), (4, [1.0, big]), (None, [big, big])]
+    vectors = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scale=0.4)
+    ints = {i: [int(np.floor(0.4 * v)) for v in x] for i, x in rows if i}
+    found = topk.top_k(vectors, vectors, k=2).collect()
+    best = {i: sorted((-sum(a * b for a, b in zip(q, ints[j], strict=True)), j) for j in ints if j != i)[:2] for i, q in ints.items()}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found} == {(i, n + 1, j, -s) for i, x in best.items() for n, (s, j) in enumerate(x)}
+    assert topk.top_k(vectors.limit(0), vectors).count() == 0
+    for x in ([2.0**40, 0.0], [2.0**70, 0.0]):
+        over = spark.createDataFrame([(1, x), (2, x)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond 64-bit"):
+            topk.top_k(topk.integers(over), topk.integers(over), k=1).collect()
+
+
+def test_top_k_query(spark, write):
+    r = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in r.normal(size=5)]) for i in range(300)] + [(50, None), (None, [1.0] * 5), (100, [2.0, 3.0])]
+    folder = write(embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    got = topk.op10_exact_topk(spark, folder)
+    assert sorted(map(tuple, got.collect())) == sorted(c.sql(topk.ORACLE).fetchall())
+
+
 def test_search_prunes():
     r = np.random.default_rng(0)
     centres = 1000 * r.normal(size=(20, 4))
