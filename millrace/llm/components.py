@@ -3,7 +3,8 @@
 A round replaces each edge by edges to the least neighbour, first for larger neighbours, then for
 smaller ones, until the edges are stars around the least node of each component. The rounds are
 logarithmic in the longest path. A hub's edges are never gathered: its least neighbour is a
-partial aggregation, and the joins that bring it back are salted by the other end of the edge.
+partial aggregation, and the join that brings it back is salted by the other end of the edge. To
+smaller neighbours a node has few edges, one for each bucket or block that it was found in.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = salted_join(both.filter("v > u"), least, "u", "v").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = salted_join(large, low, "a", "b").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         last, now = now, tables.saved(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), "edges")
         before, state = state, _state(now)
         tables.done_with(last)

@@ -12,8 +12,9 @@
 4. Components of the forests are the near-duplicate classes.
 
 A cell of m different texts moves m * m / BLOCK rows; that is the price of exact link counts.
-Copies cost nothing there. Hot buckets, classes, texts and ids are salted in joins and combined
-before shuffles.
+Copies cost nothing there. Hot classes are salted in joins, and all is combined before shuffles. Two
+joins with hot keys, of buckets and of copies, are left to adaptive execution, which splits their
+partitions: salting them would copy the other side, which is nearly as large.
 
 Nulls and texts without words link to nothing; each is its own class. A text of fewer than `k`
 words has one gram, all its words. Rows that repeat are copies of each other. Classes are of texts,
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import tables, textcore
-from millrace.llm.components import SALTS, components, salted_join
+from millrace.llm.components import components, salted_join
 
 K, THRESHOLD, RECALL = 5, 0.8, 0.9999
 MOST_HASHES = 128
@@ -60,7 +61,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """rid, tid, doc_id, salt (0 to SALTS - 1 in turn), node and check (hashes of the word sequence;
+    """rid, tid, doc_id, node and check (hashes of the word sequence;
     null without words), size (words), bands."""
     rng = np.random.default_rng(20240229)
     factors = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,11 +88,11 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 node, check = (pa.array(textcore.text_hashes(w, h).view(np.int64), mask=none) for h in (w.hashes, w.others()))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands), pa.int32()), pa.array(out.view(np.int64).ravel()))
                 own = whole.slice(a, b - a)
-                columns = [*(own.column(c) for c in ("_rid", "_tid", "doc_id")), pa.array(np.arange(a, b) % SALTS, pa.int32()), node, check, pa.array(w.counts()), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["rid", "tid", "doc_id", "salt", "node", "check", "size", "bands"])
+                columns = [*(own.column(c) for c in ("_rid", "_tid", "doc_id")), node, check, pa.array(w.counts()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "tid", "doc_id", "node", "check", "size", "bands"])
 
     made = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return made.mapInArrow(run, "rid long, tid long, doc_id long, salt int, node long, check long, size long, bands array<long>")
+    return made.mapInArrow(run, "rid long, tid long, doc_id long, node long, check long, size long, bands array<long>")
 
 
 def _apart(made: DataFrame) -> DataFrame:
@@ -190,10 +191,9 @@ def _blocks(m: str, words: str):
 def cells(one: DataFrame) -> DataFrame:
     """The cells in which pairs are verified: cell, band (-1 for a whole group), node, blocks, bands
     (only for a bucket). `one`: node, size, bands."""
-    every = one.select("node", "size", F.posexplode("bands").alias("band", "h"))
+    every = one.select("node", "size", F.explode("bands").alias("h"))
     buckets = tables.saved(every.groupBy("h").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).filter("n > 1"), "buckets")
-    shared = salted_join(every, buckets, "h", "node")
-    found = components(shared.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    found = components(every.drop("size").join(buckets.select("h", "least"), "h").select(F.col("node").alias("a"), F.col("least").alias("b")))
     roots = found.select("root").distinct().select(F.col("root").alias("node"), "root")
     member = tables.saved(found.unionByName(roots).join(one.select("node", "size"), "node"), "members")
     sums = member.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("words")).withColumn("blocks", _blocks("m", "words"))
@@ -208,7 +208,7 @@ def cells(one: DataFrame) -> DataFrame:
     dense = whole.filter("chained is null").select(F.col("root").alias("cell"), F.lit(-1).alias("band"), "node", "blocks", none.alias("bands"))
     sparse = whole.filter("chained").select("node").join(one.select("node", "bands"), "node")
     sparse = sparse.select("node", "bands", F.posexplode("bands").alias("band", "h"))
-    parts = salted_join(sparse, buckets, "h", "node").select(F.col("h").alias("cell"), "band", "node", _blocks("n", "words").alias("blocks"), "bands")
+    parts = sparse.join(buckets, "h").select(F.col("h").alias("cell"), "band", "node", _blocks("n", "words").alias("blocks"), "bands")
     return dense.unionByName(parts)
 
 
@@ -238,9 +238,7 @@ def classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, recall: f
     zero = F.lit(0).cast("long")
     whole = salted_join(whole, least, "root", "node").select("node", F.col("rid").alias("copy_of"), "root", "class_id", F.coalesce("texts", zero).alias("texts"), (F.coalesce("docs", zero) + F.col("copies") - 1).alias("links"))
     columns = ["rid", "tid", "doc_id", "wordless", "copy_of", "root", "class_id", "texts", "links"]
-    # The rows of one text are dealt out by the salt that they were written with.
-    copies = whole.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    worded = made.filter("node is not null").join(copies, ["node", "salt"]).withColumn("wordless", F.lit(False)).select(*columns)
+    worded = made.filter("node is not null").join(whole, "node").withColumn("wordless", F.lit(False)).select(*columns)
     bare = made.filter("node is null").withColumns({"wordless": F.lit(True), "copy_of": F.col("rid"), "root": F.lit(None).cast("long"), "class_id": F.col("rid"), "texts": zero, "links": zero}).select(*columns)
     return worded.unionByName(bare)
 
