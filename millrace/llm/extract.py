@@ -15,7 +15,7 @@ result; other columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ from millrace.llm import htmltree, labelledpages, linear, tables
 #: Labelled pages to train on.
 TRAINING_PAGES = 1000
 WIDTH = 1 << 14
+#: Names of elements, which pages choose, whose buckets a worker keeps at most.
+NAMES_KEPT = 1 << 14
 
 
 def _bucket(feature: str) -> int:
@@ -35,7 +37,7 @@ def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) & (WIDTH - 1)
 
 
-@cache
+@lru_cache(NAMES_KEPT)
 def _static(tag: str, names: tuple, hidden: bool) -> tuple[int, ...]:
     """Buckets of an element's own features."""
     out = [f"t:{tag}"] + [f"n:{w}" for w in names] + (["hidden"] if hidden else [])
@@ -46,7 +48,7 @@ def _static(tag: str, names: tuple, hidden: bool) -> tuple[int, ...]:
     return tuple(_bucket(f) for f in out)
 
 
-@cache
+@lru_cache(NAMES_KEPT)
 def _inherited(tag: str, names: tuple) -> tuple[int, ...]:
     """Buckets that an element gives to everything in it."""
     if not names and (tag in _FLOW or tag in _OUTER):
@@ -59,9 +61,14 @@ _OUTER = frozenset(["#root", "html", "body", "head"])
 _BINS = [[_bucket(f"{kind}:{i}") for i in range(16)] for kind in ("len", "link", "stop", "comma", "many", "p-len", "p-link", "share")]
 
 
-def features(nodes: list[htmltree.Node]) -> list[tuple[int, ...]]:
-    """Buckets of each node: own tag and names; for text, length, links, punctuation and the
-    holding element; for elements, how much text and links lie in them."""
+_PLACE = [[_bucket(f"{kind}:{i}") for i in range(5)] for kind in ("outside", "inside")]
+
+
+def features(nodes: list[htmltree.Node]) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """Buckets of each node: own tag and names; for text, length, links, punctuation and the holding
+    element; for elements, how much text and links lie in them; and whether it lies in the innermost
+    element that holds more than half of the text. And those that a node gives to all
+    that lies in it, which features of a node are too: see above()."""
     n = len(nodes)
     chars, links, blocks = [0] * n, [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
@@ -73,26 +80,36 @@ def features(nodes: list[htmltree.Node]) -> list[tuple[int, ...]]:
         links[p] += links[i]
         blocks[p] += blocks[i]
     total = max(1, chars[0])
-    out = []
-    above: list[tuple[int, ...]] = [()] * n
+    # The innermost holder of more than half of the text.
+    heavy = max(i for i, x in enumerate(nodes) if i == 0 or (2 * chars[i] > total and x.text is None and x.tag not in _FLOW))
+    inside = [False] * n
+    out, given = [], []
     for i, x in enumerate(nodes):
-        if i:
-            own = _inherited(nodes[x.parent].tag, nodes[x.parent].names)
-            above[i] = above[x.parent] + own if own else above[x.parent]
+        inside[i] = i == heavy or (i > 0 and inside[x.parent])
         size = chars[i]
         link = min(3, 4 * links[i] // size) if size else 4
+        given.append(() if x.text is not None else _inherited(x.tag, x.names))
         if x.text is not None:
             t = x.text
             holder = nodes[x.parent]
-            out.append((_BINS[0][min(15, size.bit_length())], _BINS[1][link], _BINS[2][min(4, t.count(". ") + (t[-1:] in ".!?"))], _BINS[3][min(3, t.count(","))], _bucket_of_holder(holder.tag), *above[i]))
+            out.append((_BINS[0][min(15, size.bit_length())], _BINS[1][link], _BINS[2][min(4, t.count(". ") + (t[-1:] in ".!?"))], _BINS[3][min(3, t.count(","))], _bucket_of_holder(holder.tag), _PLACE[inside[i]][min(2, chars[heavy] * 8 // total - 4)]))
         elif x.tag in _FLOW and not x.names:
-            out.append((*_static(x.tag, x.names, x.hidden), *above[i]))
+            out.append((*_static(x.tag, x.names, x.hidden), _PLACE[inside[i]][3]))
         else:
-            out.append((*_static(x.tag, x.names, x.hidden), *above[i], _BINS[4][min(15, blocks[i].bit_length())], _BINS[5][min(15, size.bit_length())], _BINS[6][link], _BINS[7][min(7, 8 * size // total)]))
+            out.append((*_static(x.tag, x.names, x.hidden), _BINS[4][min(15, blocks[i].bit_length())], _BINS[5][min(15, size.bit_length())], _BINS[6][link], _BINS[7][min(7, 8 * size // total)], _PLACE[inside[i]][4]))
+    return out, given
+
+
+def above(nodes: list[htmltree.Node], given: list, nothing):
+    """What the elements around each node give it, added up from the root."""
+    out = [nothing] * len(nodes)
+    for i in range(1, len(nodes)):
+        p = nodes[i].parent
+        out[i] = out[p] + given[p] if given[p] else out[p]
     return out
 
 
-@cache
+@lru_cache(NAMES_KEPT)
 def _bucket_of_holder(tag: str) -> int:
     return _bucket(f"in:{tag}")
 
@@ -129,11 +146,12 @@ class Model:
         from math import exp, log1p
 
         w, (bias_text, bias_node), edge = self.weights, self.bias, self.edge
-        feats, kinds = features(nodes), edge_kinds(nodes)
+        (feats, given), kinds = features(nodes), edge_kinds(nodes)
         n = len(nodes)
+        around = above(nodes, [sum([w[b] for b in g]) for g in given], 0.0)
         up = [0.0] * n  # evidence of the subtree, log odds
         for i in range(n):
-            up[i] = sum([w[b] for b in feats[i]]) + (bias_text if nodes[i].text is not None else bias_node)
+            up[i] = sum([w[b] for b in feats[i]]) + around[i] + (bias_text if nodes[i].text is not None else bias_node)
         message = [0.0] * n
 
         def soft(a: float, b: float) -> float:
@@ -165,7 +183,8 @@ def train(pages: list[tuple[str, list[str]]]) -> Model:
         nodes = htmltree.parse(html)
         label = truth(nodes, blocks)
         kinds = edge_kinds(nodes)
-        for i, f in enumerate(features(nodes)):
+        own, given = features(nodes)
+        for i, f in enumerate(x + y for x, y in zip(own, above(nodes, given, ()), strict=True)):
             r = len(target)
             rows += [r] * len(f)
             cols += f

@@ -47,31 +47,61 @@ def names_of(attributes: str) -> tuple:
     return tuple(dict.fromkeys(out))
 
 
-def _after(page: str, at: int, tag: str, attributes: str) -> int:
-    """Where the page goes on after an element of SKIPPED whose tag ends at `at`; without a closing
-    tag of its own the element is taken as empty."""
-    if tag in FOREIGN and attributes.endswith("/"):
-        return at
-    depth, begin = 1, at
+def _ends(page: str, at: int, tag: str) -> dict[int, int]:
+    """Where the page goes on after each element of SKIPPED from `at` on, by where its tag ends, in one
+    pass. An element without a closing tag of its own isn't listed: it is taken as empty."""
+    out, opened = {}, []
     while (m := _TOKEN.search(page, at)) is not None:
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if m[1] or m[4]:
-            depth -= name == tag
-            if not depth:
-                return at
+            if name == tag and opened:
+                out[opened.pop()] = at
         elif name in RAW and tag not in FOREIGN:
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
-            at = close.end() if close else len(page)
-        elif name == tag:
-            depth += not (tag in FOREIGN and (m[3] or m[6] or "").endswith("/"))
-    return begin
+            at = _after_raw(page, at, name)
+        elif name == tag and not (tag in FOREIGN and (m[3] or m[6] or "").endswith("/")):
+            opened.append(at)
+    return out
+
+
+def _after_raw(page: str, at: int, tag: str) -> int:
+    close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
+    return close.end() if close else len(page)
+
+
+class _Open:
+    """The open elements: tag and node of the block that holds what follows; and where each tag is open."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("#root", 0)]
+        self.where: dict[str, list[int]] = {}
+        self.blocks = [0]  # places of open blocks, the root among them
+
+    def push(self, tag: str, node: int) -> None:
+        self.where.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self.where[tag].pop()
+        if tag not in INLINE:
+            self.blocks.pop()
+        return tag
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these tags, 0 if there is none."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
 
 
 def parse(html: str | None) -> list[Node]:
-    """Nodes in page order, parents before children; the first is the root."""
+    """Nodes in page order, parents before children; the first is the root. Takes time in proportion
+    to the page, however deep its elements lie and whichever tags are missing."""
     nodes = [Node("#root", (), -1)]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # all open elements; inline ones have their block's node
+    opened = _Open()  # inline elements have their block's node
+    stack = opened.stack
+    skips: dict[str, dict[int, int]] = {}
     pieces: list[str] = []
     links, in_link, at = 0, 0, 0
 
@@ -93,12 +123,11 @@ def parse(html: str | None) -> list[Node]:
 
     def close_to(depth: int) -> None:
         nonlocal in_link
-        for tag, _ in stack[depth:]:
-            if tag not in INLINE:
-                flush()
-            elif tag == "a":
+        if opened.blocks[-1] >= depth:
+            flush()  # a text ends at the first block that closes
+        while len(stack) > depth:
+            if opened.pop() == "a":
                 in_link = max(0, in_link - 1)
-        del stack[depth:]
 
     page = html or ""
     end = len(page)
@@ -109,24 +138,26 @@ def parse(html: str | None) -> list[Node]:
             break
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
+        begin, at = m.start(), m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if tag in SKIPPED and not closing:
-            at = _after(page, at, tag, attributes)
+            if not (tag in FOREIGN and attributes.endswith("/")):
+                if tag not in skips:
+                    skips[tag] = _ends(page, begin, tag)
+                at = skips[tag].get(at, at)
             continue
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
+            depth = opened.last((tag,))
+            if tag in INLINE:
+                if depth > opened.blocks[-1]:
                     close_to(depth)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break
+            elif depth:
+                close_to(depth)
             else:
-                if tag not in INLINE:
-                    flush()
+                flush()
             continue
         if tag in VOID:
             if tag == "br":
@@ -135,35 +166,24 @@ def parse(html: str | None) -> list[Node]:
                 flush()
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
-            at = close.end() if close else end
+            at = _after_raw(page, at, tag)
             continue
         if tag in INLINE:
             in_link += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            opened.push(tag, stack[-1][1])
             continue
-        if tag in _P_ENDS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close_to(depth)
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
+        if tag in _P_ENDS and stack[opened.blocks[-1]][0] == "p":
+            close_to(opened.blocks[-1])
         if tag in _CLOSES:
             own, scope = _CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in own:
-                    lowest = depth
-                    while stack[lowest - 1][0] in own:
-                        lowest -= 1
-                    close_to(lowest)
-                    break
-                if stack[depth][0] in scope:
-                    break
+            lowest = opened.last(own)
+            if lowest > opened.last(scope):
+                while stack[lowest - 1][0] in own:
+                    lowest -= 1
+                close_to(lowest)
         flush()
         nodes.append(Node(tag, names_of(attributes), stack[-1][1], hidden=bool(attributes) and _HIDDEN.search(attributes) is not None))
-        stack.append((tag, len(nodes) - 1))
-    close_to(0)
-    stack.append(("#root", 0))
+        opened.push(tag, len(nodes) - 1)
+    close_to(1)
     flush()
     return nodes

@@ -1,6 +1,8 @@
 """HTML extraction, exact top-k and the pipeline."""
 
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -28,7 +30,8 @@ def test_marginals_are_exact():
     """Message passing against the sum over all labellings of a small tree."""
     model = extract.default_model()
     nodes = htmltree.parse("<div class=comments><p>one two</p></div><p>three <a href=x>four</a></p>tail")
-    feats, kinds = extract.features(nodes), extract.edge_kinds(nodes)
+    (own, given), kinds = extract.features(nodes), extract.edge_kinds(nodes)
+    feats = [x + y for x, y in zip(own, extract.above(nodes, given, ()), strict=True)]
     n = len(nodes)
     total, each = 0.0, np.zeros(n)
     for code in range(1 << n):
@@ -40,6 +43,28 @@ def test_marginals_are_exact():
     assert model.marginals(nodes) == pytest.approx(each / total, abs=1e-6)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='x y'>" * 100_000 + "deep" + "</div>" * 100_000,
+        "<b>" * 50_000 + "</i>" * 50_000 + "end",
+        "<div><li>" * 50_000 + "</ul>" * 50_000,
+        "<p><b>" * 50_000 + "<td>" * 50_000,
+        "<canvas>" * 50_000 + "</canvas>" + "<video>" * 50_000,
+        "<svg>" * 50_000 + "</svg>" * 50_000 + "<p>end",
+        "<p>x<script>" * 50_000,
+        "".join(f"<div class='n{i} m{i}'>" for i in range(50_000)) + "text",
+        "<a href=x>" * 50_000 + "link" + "</div>" * 50_000,
+    ],
+)
+def test_time_is_in_proportion_to_the_page(page):
+    model = extract.default_model()
+    start = time.process_time()
+    model.main_text(page)
+    assert time.process_time() - start < 20
+    assert extract._static.cache_info().currsize <= extract.NAMES_KEPT
+
+
 def test_held_out_pages():
     model = extract.default_model()
     hit = said = true = 0
@@ -51,6 +76,15 @@ def test_held_out_pages():
     assert hit / said > 0.95 and hit / true > 0.95
 
 
+def test_extract_query(spark, write):
+    rows = [(1, "u", "<nav><a href=x>Home</a></nav><article><h1>T \n t</h1><p>" + prose(1, 60) + ".</p><p>😀 " + prose(2, 60) + ".</p></article>"), (2, None, None)]
+    folder = write(pages=spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit(0)))
+    got = {r["page_id"]: r for r in extract.op9_html_extraction(spark, folder).collect()}
+    text = f"T t\n{prose(1, 60)}.\n😀 {prose(2, 60)}."
+    assert got[1].asDict() == {"page_id": 1, "url": "u", "text": text, "n_chars": len(text)}
+    assert got[2].asDict() == {"page_id": 2, "url": None, "text": "", "n_chars": 0}
+
+
 def test_extract(spark):
     article = "<article><h1>Title here</h1>" + "".join(f"<p>{prose(i, 40)}.</p>" for i in range(5)) + "</article>"
     page = f"<html><body><nav><ul><li><a href=a>Home</a><li><a href=b>More</a></ul></nav><div class='ad'>Buy now</div>{article}<footer>&copy; us</footer></body></html>"
