@@ -38,8 +38,6 @@ from millrace.llm.components import components, salted_join
 K, THRESHOLD, RECALL = 5, 0.8, 0.9999
 MOST_HASHES = 128
 BLOCK, BLOCK_WORDS = 128, 2_000_000
-#: Texts that have a word, by the definition of textcore.
-WORDY = "[0-9A-Za-z\u0080-\U0010ffff]"
 
 
 def choose_bands(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -222,12 +220,13 @@ def classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, recall: f
     made = _apart(tables.saved(sketches(docs, k, bands, rows), "sketches"))
     one = made.filter("node is not null").groupBy("node").agg(F.min(F.struct("rid", "tid")).alias("own"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     one = tables.saved(one.select("node", "own.rid", "own.tid", "copies", "size", "bands"), "classes")
-    dealt = tables.saved(cells(one), "cells")
-    wanted = one.select("node", "rid", "tid", "copies").join(dealt.select("node").distinct(), "node")
+    # A node has one cell, or as many as bands at most.
+    own = cells(one).groupBy("node").agg(F.collect_list(F.struct("cell", "band", "blocks", "bands")).alias("cells"))
+    wanted = one.select("node", "rid", "tid", "copies").join(own, "node")
     # Combined by key first, repeated rows come once, whatever their number.
-    texts = _keyed(docs.select("doc_id", "text")).filter(F.col("text").rlike(WORDY)).groupBy(F.col("_rid").alias("rid"), F.col("_tid").alias("tid")).agg(F.first("text").alias("text"))
-    sets = tables.saved(gram_sets(texts.join(wanted, ["rid", "tid"]).select("node", "copies", "text"), k), "grams")
-    placed = sets.join(dealt, "node").withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")))
+    texts = _keyed(docs.select("doc_id", "text")).filter(F.col("text").rlike(textcore.WORDY)).groupBy(F.col("_rid").alias("rid"), F.col("_tid").alias("tid")).agg(F.first("text").alias("text"))
+    sets = gram_sets(texts.join(wanted, ["rid", "tid"]).select("node", "copies", "cells", "text"), k)
+    placed = sets.select("node", "copies", "grams", F.inline("cells")).withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cell", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "copies", "block", "grams", "bands")
     key = ["cell", "band", "lo", "hi"]
     found = tables.saved(pairs.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_verify(threshold), "node long, texts long, docs long, least long"), "links")
@@ -247,7 +246,7 @@ def keep_one(docs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataF
     """One document of each near-duplicate class, the one of least id; texts without words stay."""
     made = classes(docs, k, threshold)
     first = made.filter("not wordless").groupBy("root").agg(F.min(F.struct("rid", "tid")).alias("f")).select(F.col("f.rid").alias("_rid"), F.col("f.tid").alias("_tid"))
-    wordy = F.coalesce(F.col("text").rlike(WORDY), F.lit(False))
+    wordy = F.coalesce(F.col("text").rlike(textcore.WORDY), F.lit(False))
     keyed = _keyed(tables.wrapped(docs))
     kept = keyed.filter(wordy).dropDuplicates(["_rid", "_tid"]).join(first, ["_rid", "_tid"], "left_semi")
     return tables.unwrapped(kept.unionByName(keyed.filter(~wordy)), docs.columns)
