@@ -38,7 +38,6 @@ K = 6
 MOST_WINDOWS = 2_000_000
 #: Bits of the bitmap of fingerprints, as a power of two.
 GATE_BITS = 26
-WORD = "[0-9A-Za-z\u0080-\U0010ffff]+"
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
 SPANS_TYPE = "array<struct<first:long,after:long>>"
 
@@ -231,7 +230,7 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, window: int, unnamed: bool,
     named = items.filter("item is not null").select("full", "item").distinct()
     own = hits.select(*key, "full").distinct().join(named, "full").select(*key, "item").distinct()
     marks = spans.join(own.groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("items")), key, "left")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(textcore.WORD)).cast("long"), F.lit(0).cast("long"))
     out = keyed.withColumn("n_words", n_words).join(marks, key, "left")
     return out.select(*docs.columns, "n_words", F.coalesce("hit_spans", F.array().cast(SPANS_TYPE)).alias("hit_spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 

@@ -8,7 +8,11 @@
    as the documents.
 3. The posterior of a document is its soft label. A linear scorer on hashed features (character
    class trigrams and binned statistics) is fitted to the soft labels of a bounded sample (SAMPLE,
-   the documents of least hash) and scores every text.
+   the different texts of least hash) and scores every text.
+
+Lengths are counted in characters. Labellers that know Latin script only, those of word length and
+of frequent words, cast no bad vote on texts of which more than FOREIGN is in another script, and the
+scorer leaves such letters and these two statistics out.
 
 Nulls and texts without words are bad (score 0). Repeated rows are scored each for itself. An
 empty table gives an empty result. Other columns are kept.
@@ -28,11 +32,14 @@ from millrace.llm import linear, tables, textcore
 #: Documents that the scorer is fitted on, at most.
 SAMPLE = 8_000
 WIDTH = 1 << 12
-#: A labeller calls at most this share of good documents bad, and at least that of its own class.
-MOST_WRONG, LEAST_RIGHT = 0.01, 0.7
-
-# Character classes: 0 other, 1 lower case and beyond ASCII, 2 upper case, 3 digit, 4 space, 5 line
-# break, then one for each ASCII sign.
+#: A labeller calls at most this share of good documents bad, and at least that of its own class. Votes
+#: alone don't tell a kind of bad document that one labeller sees from that labeller's errors; this does.
+MOST_WRONG, LEAST_RIGHT = 0.05, 0.5
+#: Share of letters beyond Latin script from which a text is in another script.
+FOREIGN = 0.3
+
+# Character classes by first byte in UTF-8: 0 other, 1 lower case and Latin beyond ASCII, 2 upper case,
+# 3 digit, 4 space, 5 line break, then one for each ASCII sign, then characters from U+0280 on.
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[97:123] = _CLASS[128:] = 1
 _CLASS[65:91] = 2
@@ -41,15 +48,20 @@ _CLASS[[9, 32]] = 4
 _CLASS[[10, 13]] = 5
 for _i, _c in enumerate("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
     _CLASS[ord(_c)] = 6 + _i
-_N = 6 + 32
+_OTHER_SCRIPT = 6 + 32
+_CLASS[0xCA:] = _OTHER_SCRIPT
+_N = 6 + 32 + 1
 _BUCKET = (textcore.mix(np.arange(_N**3, dtype=np.uint64)) % np.uint64(WIDTH)).astype(np.int64)
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in "#$%&*|<>{}[]\\^~=+@_"]] = True
 
-STATISTICS = ["words", "mean_length", "upper", "marks", "shouts", "digits", "repeats", "distinct", "most_common", "stops", "breaks"]
+STATISTICS = ["words", "mean_length", "upper", "marks", "shouts", "digits", "repeats", "distinct", "most_common", "stops", "breaks", "foreign"]
+#: Statistics that say nothing about other scripts.
+_LATIN_ONLY = [STATISTICS.index(x) - 1 for x in ("mean_length", "stops")]
 
-# Frequent function words of four languages.
-STOPS = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one der die und das ist nicht von zu mit sich des auf für im ein eine den le la les des et un une du en que qui dans est pour sur pas par el los las del y una por con para su al lo como".split()
+# Frequent function words of English, German, French, Spanish, Italian, Portuguese, Dutch,
+# Polish, Swedish, Danish, Finnish, Turkish, Romanian, Czech and Indonesian.
+STOPS = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one der die und das ist nicht von zu mit sich des auf für im ein eine den le la les des et un une du en que qui dans est pour sur pas par el los las del y una por con para su al lo como che non una per sono della gli anche nel não uma com mais das dos pela het een van niet zijn voor maar ook się nie jest jak ale przez och att det som inte har med til ikke jeg vil ja on että mutta oli kun niin bir ve bu için ile gibi daha ama și pentru este sunt din care že jsem ale nebo při jako yang dan dengan untuk tidak dari pada ini itu".split()
 _STOP_HASHES = np.unique(textcore.words(STOPS).hashes)
 
 
@@ -63,14 +75,17 @@ def statistics(texts: list[str | None], w: textcore.Words) -> np.ndarray:
     begins = ends - sizes - 1
 
     def per_text(flags: np.ndarray) -> np.ndarray:
-        s = np.concatenate(([0], np.cumsum(flags)))
+        s = np.concatenate(([0], np.cumsum(flags, dtype=np.int32 if len(flags) < 1 << 31 else np.int64)))
         return (s[ends] - s[begins]).astype(float)
 
     counts = w.counts()
     some = np.maximum(counts, 1)
-    letters = np.maximum(per_text((_CLASS[d] == 1) | (_CLASS[d] == 2)), 1)
-    prefix = np.concatenate(([0], np.cumsum(w.last - w.first)))
-    length = (prefix[w.offsets[1:]] - prefix[w.offsets[:-1]]) / some
+    starts = d & 0xC0 != 0x80  # the first byte of a character
+    chars = per_text(starts)
+    letters = np.maximum(per_text(starts & ((_CLASS[d] == 1) | (_CLASS[d] == 2))), 1)
+    in_words = per_text(starts & textcore.is_word(w.data))
+    length = in_words / some
+    foreign = per_text(d >= 0xCA) / np.maximum(in_words, 1)
     same = np.concatenate(([0], np.cumsum(np.concatenate(([False], w.hashes[1:] == w.hashes[:-1]))))) if len(w.hashes) else np.zeros(1)
     inner = np.maximum(w.offsets[1:] - w.offsets[:-1], 1)
     repeats = (same[w.offsets[1:]] - same[np.minimum(w.offsets[:-1] + 1, w.offsets[1:])]) / inner
@@ -86,7 +101,7 @@ def statistics(texts: list[str | None], w: textcore.Words) -> np.ndarray:
     where = np.minimum(np.searchsorted(_STOP_HASHES, w.hashes), len(_STOP_HASHES) - 1)
     stops = np.bincount(owner, weights=_STOP_HASHES[where] == w.hashes, minlength=n) / some
     return np.stack(
-        [counts, length, per_text(_CLASS[d] == 2) / letters, per_text(_MARKS[d]) / some, per_text(d == 33) / some, per_text(_CLASS[d] == 3) / np.maximum(sizes, 1), repeats, distinct, most / some, stops, per_text(d == 10) / some],
+        [counts, length, per_text(_CLASS[d] == 2) / letters, per_text(_MARKS[d]) / some, per_text(d == 33) / some, per_text(_CLASS[d] == 3) / np.maximum(chars, 1), repeats, distinct, most / some, stops, per_text(d == 10) / some, foreign],
         axis=1,
     )
 
@@ -95,6 +110,7 @@ def votes(s: np.ndarray) -> np.ndarray:
     """Votes of the labellers on rows of STATISTICS."""
     x = {name: s[:, i] for i, name in enumerate(STATISTICS)}
     some = x["words"] >= 20
+    latin = x["foreign"] <= FOREIGN
     # Distinct words grow at least as the root of a text's length.
     few = 0.15 * np.sqrt(3000 / np.maximum(x["words"], 3000))
 
@@ -109,8 +125,8 @@ def votes(s: np.ndarray) -> np.ndarray:
             vote(x["repeats"] > 0.2, x["repeats"] < 0.05),
             vote(some & (x["distinct"] < few), some & (x["distinct"] > 0.35)),
             vote(some & (x["most_common"] > 0.25), some & (x["most_common"] < 0.15)),
-            vote(some & (x["stops"] < 0.03), x["stops"] > 0.1),
-            vote((x["mean_length"] > 12) | (x["mean_length"] < 2), (x["mean_length"] > 3) & (x["mean_length"] < 9)),
+            vote(some & latin & (x["stops"] < 0.03), x["stops"] > 0.1),
+            vote(latin & ((x["mean_length"] > 12) | (x["mean_length"] < 2)), (x["mean_length"] > 3) & (x["mean_length"] < 9)),
             vote(x["digits"] > 0.3, x["digits"] < 0.1),
         ],
         axis=1,
@@ -121,18 +137,25 @@ def hashed(texts: list[str | None], w: textcore.Words, s: np.ndarray) -> tuple[n
     """Text, bucket and value of the scorer's features."""
     n = len(texts)
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    sizes = np.array([len(r) for r in raw])
-    c = _CLASS[np.frombuffer(b"\n".join(raw) + b"\n\n\n", dtype=np.uint8)]
-    bucket = _BUCKET[(c[:-2] * _N + c[1:-1]) * _N + c[2:]]
-    owner = np.repeat(np.arange(n), sizes + 1)
-    many = np.bincount(owner * WIDTH + bucket[: len(owner)], minlength=n * WIDTH)
+    d = np.frombuffer(b"\n".join(raw) + b"\n\n\n", dtype=np.uint8)
+    starts = np.flatnonzero(d & 0xC0 != 0x80)
+    ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
+    sizes = np.diff(np.concatenate(([0], ends)))
+    c = _CLASS[d[starts]].astype(np.int32)
+    bucket = _BUCKET[((c[:-2] * _N + c[1:-1]) * _N + c[2:])[: ends[-1]]]
+    own_script = c[: ends[-1] + 2] != _OTHER_SCRIPT
+    known = own_script[:-2] & own_script[1:-1] & own_script[2:]
+    owner = np.repeat(np.arange(n), sizes)
+    many = np.bincount(owner[known] * WIDTH + bucket[known], minlength=n * WIDTH)
     at = np.flatnonzero(many)
     row, col = at // WIDTH, at % WIDTH
-    value = np.sqrt(many[at] / (sizes[row] + 1))
-    bins = np.minimum((np.sqrt(np.clip(s[:, 1:], 0, 16)) * 8).astype(np.int64), 31)
+    value = np.sqrt(many[at] / sizes[row])
+    bins = np.minimum((np.sqrt(np.clip(s[:, 1:-1], 0, 16)) * 8).astype(np.int64), 31)
     kind = np.arange(bins.shape[1]) * 32 + bins
     own = (textcore.mix(kind.ravel().astype(np.uint64) + np.uint64(1 << 40)) % np.uint64(WIDTH)).astype(np.int64)
-    return np.concatenate((row, np.repeat(np.arange(n), bins.shape[1]))), np.concatenate((col, own)), np.concatenate((value, np.full(len(own), 0.5)))
+    weight = np.full(bins.shape, 0.5)
+    weight[np.ix_(s[:, -1] > FOREIGN, _LATIN_ONLY)] = 0
+    return np.concatenate((row, np.repeat(np.arange(n), bins.shape[1]))), np.concatenate((col, own)), np.concatenate((value, weight.ravel()))
 
 
 def vote_counts(docs: DataFrame) -> DataFrame:
@@ -141,7 +164,7 @@ def vote_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in textcore.batches(texts):
+            for a, b in textcore.batches(texts, rows=1024):
                 w = textcore.words(texts[a:b])
                 v = votes(statistics(texts[a:b], w))[w.counts() > 0]
                 code, n = np.unique(_pattern(v), return_counts=True)
@@ -162,8 +185,8 @@ def expectation_maximisation(v: np.ndarray, n: np.ndarray, rounds: int = 100) ->
     """A latent class of good documents and one of bad documents for each labeller, since texts are
     bad in different ways: the share of bad votes among the votes of every labeller in every class,
     and the classes' shares, from vote rows and how often each occurs. No vote says nothing. A
-    labeller is held to be wrong about few good documents and right about most of its own bad class;
-    all else is estimated.
+    labeller is seldom wrong about good documents and mostly right about its own class, within
+    MOST_WRONG and LEAST_RIGHT; all else is estimated.
 
     accuracy: the estimated share of right votes of each labeller."""
     m = v.shape[1]
@@ -205,7 +228,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in textcore.batches(texts):
+            for a, b in textcore.batches(texts, rows=1024):
                 w = textcore.words(texts[a:b])
                 s = statistics(texts[a:b], w)
                 row, col, value = hashed(texts[a:b], w, s)
@@ -214,13 +237,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dic
                 cells = [(col[order[i:j]].astype("<u4").tobytes(), value[order[i:j]].astype("<f4").tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(posterior(votes(s), model)), *(pa.array(x, pa.binary()) for x in zip(*cells, strict=True))], ["target", "cols", "vals"])
 
-    some = docs.select("text").filter(F.col("text").rlike("[0-9A-Za-z\u0080-\U0010ffff]")).withColumn("_h", F.xxhash64("text"))
+    some = docs.select("text").filter(F.col("text").rlike(textcore.WORDY)).withColumn("_h", F.xxhash64("text"))
     total = int(n.sum())
     if total > sample:
         # A hash below this keeps the sample's share of the rows, so no sort of texts is needed.
         bound = int(-(2**63) + 2**64 * min(1.0, 1.2 * sample / total))
         some = some.filter(F.col("_h") <= F.lit(min(bound, 2**63 - 1)))
-    kept = some.select("text").mapInArrow(run, "target double, cols binary, vals binary").limit(2 * sample).collect()
+    texts = some.groupBy("_h").agg(F.first("text").alias("text"))  # copies are one example
+    kept = texts.select("text").mapInArrow(run, "target double, cols binary, vals binary").limit(2 * sample).collect()  # the bound gives fewer
     if not kept:
         return np.zeros(WIDTH), 0.0, model
     cols = [np.frombuffer(r["cols"], "<u4") for r in kept]
@@ -237,7 +261,7 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
         weight, bias, labellers = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, e in textcore.batches(texts):
+            for a, e in textcore.batches(texts, rows=1024):
                 w = textcore.words(texts[a:e])
                 s = statistics(texts[a:e], w)
                 row, col, value = hashed(texts[a:e], w, s)

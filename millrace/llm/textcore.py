@@ -42,6 +42,8 @@ _IS_WORD[128:] = True
 
 #: Values whose prefix sums are held at once.
 _CHUNK = 1 << 20
+#: Texts that have a word, and words, as JVM patterns.
+WORDY, WORD = "[0-9A-Za-z\u0080-\U0010ffff]", "[0-9A-Za-z\u0080-\U0010ffff]+"
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -106,6 +108,11 @@ class Words:
         return _word_hashes(self.data, self.first, self.last, _LETTER_2, _BASE_2)
 
 
+def is_word(data: np.ndarray) -> np.ndarray:
+    """Whether each lower-cased byte belongs to a word."""
+    return _IS_WORD[data]
+
+
 def byte_starts(w: Words, first: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n lower-cased bytes from each of `first` on."""
     out = np.full(len(first), _U(n))

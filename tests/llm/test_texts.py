@@ -250,6 +250,52 @@ def test_expectation_maximisation_finds_accuracies():
     assert np.abs(model["accuracy"] - true).max() < 0.02
 
 
+def test_expectation_maximisation_with_overlapping_labellers():
+    """Labellers that see several kinds of bad documents, none of them always right."""
+    r = np.random.default_rng(3)
+    good = r.random(40_000) < 0.7
+    kind = r.integers(0, 3, len(good))
+    sees = np.array([[0.9, 0.5, 0.0], [0.4, 0.9, 0.3], [0.0, 0.4, 0.9], [0.6, 0.6, 0.6], [0.3, 0.0, 0.5]])
+    wrong = np.array([0.01, 0.02, 0.01, 0.03, 0.02])
+    v = np.stack([np.where(r.random(len(good)) < 0.1, -1, ~np.where(good, r.random(len(good)) < wrong[j], r.random(len(good)) < sees[j][kind])) for j in range(5)], axis=1)
+    rows, n = np.unique(v, axis=0, return_counts=True)
+    model = quality.expectation_maximisation(rows, n.astype(float))
+    known = quality._posteriors((v == 1).astype(float), (v == 0).astype(float), np.vstack([wrong, sees.T]).clip(1e-4, 1 - 1e-4), np.array([0.7, 0.1, 0.1, 0.1]))[:, 0]
+    best = ((known > 0.5) == good).mean()
+    assert ((quality.posterior(v, model) > 0.5) == good).mean() > best - 0.02
+    cast = v >= 0
+    true = ((v == good[:, None]) & cast).sum(axis=0) / cast.sum(axis=0)
+    assert np.abs(model["accuracy"] - true).max() < 0.05
+
+
+SCRIPTS = [
+    "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. Всё смешалось в доме Облонских. Жена узнала, что муж был в связи с гувернанткой, и объявила мужу, что не может жить с ним в одном доме.",
+    "孔子说，学习并且经常复习，不是很快乐吗？有朋友从远方来，不是很高兴吗？别人不了解我，我却不生气，不是君子吗？今天的天气很好，我们去公园散步，看见许多花开了。",
+    "Η γλώσσα είναι το μέσο με το οποίο οι άνθρωποι επικοινωνούν μεταξύ τους. Κάθε μέρα μιλάμε με φίλους και συγγενείς, γράφουμε γράμματα και διαβάζουμε βιβλία.",
+    "भारत एक विशाल देश है जहाँ अनेक भाषाएँ बोली जाती हैं। यहाँ के लोग मिलनसार होते हैं और अतिथि का सम्मान करते हैं। हर प्रदेश का अपना भोजन और अपनी वेशभूषा होती है।",
+    "اللغة العربية هي أكثر اللغات السامية تحدثا ونطقا وإحدى أكثر اللغات انتشارا في العالم يتحدثها أكثر من أربعمائة مليون نسمة ويتوزع متحدثوها في الوطن العربي.",
+    "Suomen kieli on yksi maan virallisista kielistä, ja sitä puhuu noin viisi miljoonaa ihmistä. Monet lapset oppivat sen kotona, mutta koulussa opetetaan myös ruotsia ja englantia.",
+    "Wszystkie szczęśliwe rodziny są do siebie podobne, każda nieszczęśliwa rodzina jest nieszczęśliwa na swój sposób. W domu panował wielki zamęt, a żona dowiedziała się o wszystkim.",
+]
+
+
+def test_clean_prose_of_other_scripts_is_kept(spark, data_dir):
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text")
+    junk = "!!! $$$ ### " * 40
+    rows = [(-1 - i, t) for i, t in enumerate(SCRIPTS)] + [(-100 - i, junk + t[:20]) for i, t in enumerate(SCRIPTS)]
+    kept = {x["doc_id"] for x in quality.keep_good(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).filter("doc_id < 0").collect()}
+    assert kept == {-1 - i for i in range(len(SCRIPTS))}
+
+
+def test_quality_query(spark, data_dir):
+    got = quality.op6_quality_classifier(spark, data_dir)
+    labels = spark.read.parquet(f"{data_dir}/labels.parquet")
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    assert got.count() == docs.count() and got.filter("score < 0 or score > 1 or keep <> (score >= 0.5)").count() == 0
+    right, n = got.join(labels, "doc_id").select(F.count_if(F.col("keep") == (F.col("quality") == 1)), F.count("quality")).first()
+    assert right > 0.98 * n
+
+
 def test_quality(spark, awkward, no_docs):
     r = random.Random(2)
     texts = []
