@@ -202,7 +202,7 @@ def test_licenses(spark, write, awkward):
     texts = [None, "", "Released under the MIT licence", "x\nLICENSED UNDER CC-BY-NC 4.0\ny\nReleased under the MIT License.\nreleased under the MIT license", "Copyright (c) 2020 Someone\n\n" + mit.replace("\n", " ").replace("sublicense", "sub-license"), "It isn't released under the MIT License.", "Licensed under the Apache License, v2.0.", prose(4, 5000)]
     folder = write(documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("digest", F.lit("x")))
     got = sorted(map(tuple, licenses.op2_license_scans(spark, folder).collect()))
-    assert got == [(2, "MIT", "line", 1), (2, "MIT", "text", 1), (3, "CC-BY-NC-4.0", "line", 1), (3, "MIT", "line", 2), (4, "MIT", "line", 1), (4, "MIT", "text", 1), (6, "Apache-2.0", "line", 1), (6, "Apache-2.0", "text", 1)]
+    assert got == [(2, "MIT", "line", 1), (2, "MIT", "text", 1), (3, "CC-BY-NC-4.0", "line", 1), (3, "MIT", "line", 2), (4, "MIT", "line", 1), (4, "MIT", "span", 1), (4, "MIT", "text", 1), (6, "Apache-2.0", "line", 1), (6, "Apache-2.0", "text", 1)]
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
     assert sorted(c.sql(registry.ORACLE_SQL["op2_license_scans"]).fetchall()) == got
@@ -210,6 +210,33 @@ def test_licenses(spark, write, awkward):
     assert licenses.findings(awkward).count() == 0
 
 
+def test_licences_within_texts(spark, write):
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 500 and t.startswith("Perm"))
+    commented = "/*\n * Copyright (c) 2020 Foo\n *\n" + "".join(f" * {x}\n" for x in mit.split("\n")) + " */\nint main() { return 0; }\n"
+    texts = [
+        "// Copyright (c) 2020 Foo. Licensed under the Apache License, Version 2.0.\nx = 1",
+        "Copyright 2021 Foo. All rights reserved.",
+        "(c) You must retain all notices\n(c) Neither the name\n(c) 2020 Foo\n(c) Jane Doe",
+        commented, prose(1, 300) + "\n\n" + mit + "\n\n" + prose(2, 300), mit.replace("hereby granted", "hereby given") + "\ncode", mit + " and more", mit[:-1] + "s", ("Permission is hereby\n" * 300) + mit + "\n" + mit,
+        "Copyright 2020 A. All rights reserved.\n\n" + mit, None, "",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (3, commented), (None, commented)], "doc_id long, text string").withColumn("license_id", F.lit("x"))
+    folder = write(documents=docs)
+    got = sorted(map(tuple, licenses.op2_license_scans(spark, folder).collect()), key=str)
+    said = {}
+    for d, i, unit, n in got:
+        said.setdefault(d, set()).add((i, unit, n))
+    assert said == {
+        0: {("Apache-2.0", "line", 1)}, 1: {("all-rights-reserved", "line", 1), ("all-rights-reserved", "text", 1)}, 3: {("MIT", "span", 2)}, None: {("MIT", "span", 1)}, 4: {("MIT", "span", 1)},
+        6: {("MIT", "span", 1)}, 8: {("MIT", "span", 2)}, 9: {("MIT", "span", 1), ("MIT", "text", 1), ("all-rights-reserved", "line", 1)},
+    }
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    assert sorted(c.sql(registry.ORACLE_SQL["op2_license_scans"]).fetchall(), key=str) == got
+    third = spark.createDataFrame([(texts[2],)], "t string").select(licenses.canonical(F.col("t"))).first()[0]
+    assert third == "c you must retain all notices c neither the name"
+
+
 def test_full_licence_texts(spark, write):
     heads = ["Copyright The Go Authors", "Copyright Google Inc.", "Copyright by Jane Doe 2020", "Copyright (c) 2020 A\nAll rights reserved.", "(c) Jane Doe", "© 2020 A", "Copyright [yyyy] [name]", "Copyright Notable Ltd", "Copyright 2020 A. All rights reserved."]
     mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 500 and t.startswith("Perm"))
