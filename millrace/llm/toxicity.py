@@ -6,13 +6,17 @@ token is a lattice: a position may stay as it is, stand for a letter it resemble
 Three or more equal signs at a word's end (was$$$) stay as they are. Viterbi decoding under a character trigram model of the whole
 corpus picks the likeliest letters; the text with the decoded tokens is the restored text.
 
-Scorer. Words and word starts of restored texts, hashed, are tested for association with the label on a bounded
-sample of labelled rows (SAMPLE, the rows of least hash); a logistic model on the presence of the
-most associated ones gives the score. Rows whose crc32(doc_id) mod 5 is 0 are held out of that.
-Only the text is an input of a score.
-
-Nulls and empty texts have no words and get the model's prior. A null doc_id counts as ''.
-Repeated rows are scored each for itself; several labels of a document are averaged. Without
+Scorer. Words and word starts of restored texts, hashed, are tested for association with toxicity on
+a bounded sample of labelled rows (SAMPLE, the ids of least hash, one text each). The score is a
+noisy or: each feature of the text, and a constant, makes it toxic on its own with some probability,
+so that one toxic word suffices in a text of any length. The rates are fitted by maximum a posteriori,
+in which features that others explain get little. Features are counted by Spark; the driver gets at
+most FEATURES of them, and each sampled row's places among these.
+Rows whose crc32(doc_id) mod 5 is 0 are held out. Only the text is an input of a score.
+
+Nulls and empty texts have no words and get the constant's score. A null doc_id counts as ''.
+Repeated rows are scored each for itself; several labels of a document are averaged, and of several
+texts of one id the one of least hash is learned from. Without
 labels the score is the prior 0.05. Empty tables give an empty result.
 """
 
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import linear, tables, textcore
+from millrace.llm import tables, textcore
 
 #: Labelled rows that the scorer is fitted on, at most.
 SAMPLE = 12_000
@@ -35,8 +39,8 @@ FEATURES = 3000
 #: Least chi-square of a feature's association with the label; among two million buckets chance
 #: alone hardly reaches it.
 LEAST_STRENGTH = 45.0
-#: Of n labelled rows, this over n features are taken in any case: few rows can't prove much.
-FEATURE_ROWS = 300_000
+#: A feature's rate is as if it had been the cause in CAUSES more rows and in CLEAN more clean ones.
+CAUSES, CLEAN = 0.1, 0.3
 #: Bytes of word starts that are features beside whole words.
 STARTS = (4, 5, 6, 7, 8)
 
@@ -244,8 +248,23 @@ def features(texts: list[str | None], restorer: Restorer, wanted: np.ndarray | N
     return both // BUCKETS, both % BUCKETS
 
 
+def fit_noisy_or(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, width: int, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Rates of the features and of the constant: a text is clean with probability exp(-(their sum)).
+    `rows` and `cols` list the features that are present; targets from 0.5 on count as toxic."""
+    clean = target < 0.5
+    seen = np.bincount(cols[clean[rows]], minlength=width) + CLEAN
+    rate, constant = np.full(width, 0.5), 0.02
+    for _ in range(steps):
+        total = np.bincount(rows, weights=rate[cols], minlength=len(target)) + constant
+        pull = np.where(clean, 0, 1 / np.expm1(np.clip(total, 1e-9, 50)))
+        # A damped step to where the posterior is flat in each rate.
+        rate = np.sqrt(rate * (rate * np.bincount(cols, weights=pull[rows], minlength=width) + CAUSES) / seen)
+        constant = max(1e-6, constant * np.sqrt(pull.sum() / (clean.sum() + 1)))
+    return rate, float(constant)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """The language model, and buckets, weights and bias of the scorer."""
+    """The language model, and buckets, rates and the constant's rate of the scorer."""
     spark = docs.sparkSession
     counts = np.zeros(_A**3, dtype=np.int64)
     for r in lm_counts(docs).toLocalIterator():  # at most _A ** 3 rows
@@ -263,32 +282,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             for a, b in textcore.batches(texts):
                 row, bucket = features(texts[a:b], restorer)
                 cut = np.searchsorted(row, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("target").slice(a, b - a), pa.array([bucket[i:j].astype("<u4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["target", "buckets"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("target", "text").mapInArrow(run, "target double, buckets binary").limit(4 * sample).collect()
-    rows = list({r["buckets"]: r for r in rows}.values())  # copies are one example
-    target = np.array([r["target"] for r in rows])
-    each = [np.frombuffer(r["buckets"], "<u4") for r in rows]
-    if not len(target) or target.min() == target.max():
-        return lm, np.zeros(0, np.int64), np.zeros(0), float(np.log(0.05 / 0.95)) if not len(target) else float(np.log((target.mean() + 0.01) / (1.01 - target.mean())))
-    n, toxic = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
-    for x, y in zip(each, target, strict=True):  # a row's buckets are distinct
-        n[x] += 1
-        toxic[x] += y
-    rate = target.mean()
-    strength = np.where(n >= 3, (toxic - n * rate) ** 2 / np.maximum(n * rate * (1 - rate), 1e-9), 0)
-    best = np.argsort(-strength, kind="stable")[:FEATURES]
-    chosen = np.sort(best[: max(FEATURE_ROWS // len(target), int((strength[best] >= LEAST_STRENGTH).sum()))])
-    chosen = chosen[strength[chosen] > 0]
+                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bucket, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("target").slice(a, b - a), lists], ["target", "buckets"])
+
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("target").alias("target"))
+    marked = texts.select("target", "text").mapInArrow(run, "target double, buckets array<int>")
+    examples = tables.saved(marked.groupBy(F.xxhash64("buckets").alias("h")).agg(F.avg("target").alias("target"), F.first("buckets").alias("buckets")).drop("h"), "examples")  # copies are one
+    total, rate = examples.agg(F.count(F.lit(1)), F.avg("target")).first()
+    if not total:
+        return lm, np.zeros(0, np.int64), np.zeros(0), float(-np.log(0.95))
+    constant = float(-np.log1p(-min(max(rate, 0.01), 0.99)))
+    if rate in (0, 1):
+        return lm, np.zeros(0, np.int64), np.zeros(0), constant
+    toxic = F.col("toxic") - F.col("n") * F.lit(rate)
+    strength = toxic * toxic / (F.col("n") * F.lit(rate * (1 - rate)))
+    each = examples.select(F.explode("buckets").alias("bucket"), "target").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("toxic"))
+    best = each.filter("n >= 3").filter(toxic > 0).withColumn("strength", strength).filter(F.col("strength") >= LEAST_STRENGTH).orderBy(F.desc("strength"), "bucket").limit(FEATURES)
+    chosen = np.sort(np.array([r["bucket"] for r in best.select("bucket").collect()], dtype=np.int64))
     if not len(chosen):
-        return lm, np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate)))
-    place = np.full(BUCKETS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    cols = [c[c >= 0] for c in (place[x] for x in each)]
-    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    cols = np.concatenate(cols)
-    w, b = linear.fit_logistic(row, cols, np.ones(len(cols)), target, len(chosen), l2=2e-6, steps=1500)
-    return lm, chosen, w, b
+        return lm, chosen, np.zeros(0), constant
+    kept = F.array(*(F.lit(int(c)) for c in chosen))
+    rows = examples.select("target", F.array_intersect("buckets", kept).alias("own")).collect()  # at most SAMPLE
+    own = [np.searchsorted(chosen, r["own"]) for r in rows]
+    cols = np.concatenate(own).astype(np.int64)
+    rates, constant = fit_noisy_or(np.repeat(np.arange(len(own)), [len(x) for x in own]), cols, np.array([r["target"] for r in rows]), len(chosen))
+    return lm, chosen, rates, constant
 
 
 def score(docs: DataFrame, model: tuple) -> DataFrame:
@@ -306,9 +324,9 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for a, e in textcore.batches(texts):
                 row, bucket = features(texts[a:e], restorer, wanted)
-                z = np.bincount(row, weights=weight[bucket], minlength=e - a) + b
+                total = np.bincount(row, weights=weight[bucket], minlength=e - a) + b
                 own = batch.slice(a, e - a)
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(linear.sigmoid(z))], own.schema.names)
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(-np.expm1(-total))], own.schema.names)
 
     out = docs.withColumn("_score", F.lit(0.0))
     return out.mapInArrow(run, out.schema)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import textwrap
@@ -373,6 +374,59 @@ def test_restoring_of_combined_forms(restorer):
     assert len(restorer.restore(long)) > 1000
 
 
+def test_decoding_is_the_best_of_all_paths(restorer):
+    """Viterbi against the sum of costs and log probabilities of every path of a token's lattice."""
+    r = random.Random(6)
+
+    def total(steps):
+        s, a, b = 0.0, 0, 0
+        for letters, cost in steps:
+            s += cost
+            for c in letters:
+                k = int(toxicity._CODE[ord(c)]) if ord(c) < 0x250 else 0 if c in toxicity.LEET else toxicity._A - 1
+                if k or b:
+                    s += float(restorer.lm[a, b, k])
+                    a, b = b, k
+        return s
+
+    tokens = ["1d10t", "m0r0n", "id1ooot", "a$$", "b0t!", "é1!", "i d i 0 t", "m.0.r.0.n", "1|1", "tttooo7"] + ["".join(r.choice("abilot01!$|e") for _ in range(r.randint(2, 7))) for _ in range(120)]
+    for token in tokens:
+        for spaced in (False, True):
+            lattice = [*restorer._options(token, spaced), [(" ", 0.0)]]
+            paths = {}
+            for steps in itertools.product(*lattice):
+                said = "".join(x for x, _ in steps).strip()
+                paths[said] = max(paths.get(said, -1e9), total(steps))
+            restorer.known.clear()
+            got = restorer.decode(token, spaced)
+            assert paths[got] >= max(paths.values()) - 1e-4, (token, spaced, got, max(paths, key=paths.get))
+
+
+def test_noisy_or_shares_causes():
+    """A cause that another explains gets little; one word alone suffices."""
+    r = np.random.default_rng(1)
+    x = (r.random((3000, 6)) < 0.05).astype(int)
+    x[:, 4] = x[:, 0] & (r.random(3000) < 0.5) | (r.random(3000) < 0.02)  # comes along with 0
+    x[:, 5] = 1
+    y = ((x[:, 0] | x[:, 1]) & (r.random(3000) < 0.97) | (r.random(3000) < 0.01)).astype(float)
+    rows, cols = np.nonzero(x)
+    rate, constant = toxicity.fit_noisy_or(rows, cols, y, 6)
+    alone = -np.expm1(-(rate + constant))
+    assert alone[:2].min() > 0.9 and alone[2:].max() < 0.2 and constant < 0.1
+
+
+def test_toxicity_query(spark, data_dir):
+    data_dir = data_dir.replace("0.001", "0.01")  # the smallest table has too few toxic rows to learn from
+    got = toxicity.op8_toxicity(spark, data_dir).collect()
+    docs = [x["doc_id"] for x in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id").collect()]
+    assert sorted(x["doc_id"] for x in got) == sorted(docs)
+    for x in got:
+        assert x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) and 0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.5)
+    toxic = {x["doc_id"]: x["toxic"] for x in spark.read.parquet(f"{data_dir}/labels.parquet").collect()}
+    known = [(x["predicted"], toxic[x["doc_id"]]) for x in got if x["doc_id"] in toxic]
+    assert sum(a == b for a, b in known) > 0.95 * len(known)
+
+
 def textcore_words(text):
     w = textcore.words([text])
     return [w.word(i).decode() for i in range(len(w.hashes))]
