@@ -27,7 +27,7 @@ CACHE_CHARS = 48
 
 _SPACE_THEN_SPACE = re.compile(r" (?!\S)")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-_NOT_LATIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f]")
+_NOT_LATIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{24f}]"
 
 # Texts in which a space stands before white space, or controls that libraries class differently.
 _SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -123,25 +123,20 @@ class Encoder:
             out.append(flat[at : (at := at + 4 * len(x))])
         return out
 
-    def _split(self, part: str) -> list[str]:
-        """Pieces of a part of Latin script by the tokenizer's own rule."""
-        if self.normalize is not None:
-            part = part.lower() if part.isascii() else self.normalize(part)
-        lead = part[:1] == " "
-        word = part.rstrip(_TAIL)
-        if (word[1:] if lead else word).isalpha():
-            return [word, part[len(word) :]] if len(word) < len(part) else [word]
-        return self.pattern(part)
-
     def _parts(self, unknown: list[str]) -> list[bytes]:
-        """Ids of parts that the cache lacks. Parts of Latin script are split once more, so that
-        a word is learned once whatever punctuation follows."""
+        """Ids of parts that the cache lacks. Parts of Latin script are split once more by the
+        tokenizer's own rule, so that a word is learned once whatever punctuation follows."""
         if self.pattern is None:
             return self._learn(self.tokenizer, unknown)
-        other = {p: None for p in unknown if _NOT_LATIN.search(p)}
+        far = pc.match_substring_regex(pa.array(unknown, pa.large_string()), _NOT_LATIN).to_pylist()
+        other = dict.fromkeys(p for p, f in zip(unknown, far, strict=True) if f)
         if other:
             other = dict(zip(other, self._learn(self.tokenizer, list(other)), strict=True))
-        split = [None if p in other else self._split(p) for p in unknown]
+        # In Latin script without white space, lower case is all that the normalizer does.
+        low = [p.lower() for p in unknown] if self.normalize is not None else unknown
+        trimmed = pc.utf8_rtrim(pa.array(low, pa.large_string()), _TAIL)
+        one_word = pc.match_substring_regex(trimmed, r"\A ?\pL+\z").to_pylist()
+        split = [None if f else self.pattern(p) if not o else [h] if len(h) == len(p) else [h, p[len(h) :]] for p, h, f, o in zip(low, trimmed.to_pylist(), far, one_word, strict=True)]
         words = self.words
         new = list(set(chain.from_iterable(x for x in split if x)).difference(words))
         rare = {}
