@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.engine import Engine
-from millrace.functions.typed import yyyymmdd
+from millrace.functions.typed import DATE, DAY_OF, yyyymmdd
 from millrace.operators.relational import quoted
 from millrace.sql.grammar import parse
 
@@ -62,6 +62,14 @@ CATALOGUE: dict[str, Query] = {
     "filter_string_order": Query("SELECT c_custkey FROM customer WHERE c_mktsegment >= 'F' AND c_mktsegment < 'N'", "SELECT c_custkey FROM customer WHERE c_mktsegment >= 'F' AND c_mktsegment < 'N'"),
     "filter_truthy": Query("SELECT o_orderkey FROM orders WHERE o_orderkey / 10000", "SELECT o_orderkey FROM orders WHERE o_orderkey // 10000 <> 0"),
     "filter_between": Query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12"),
+    "filter_days": Query(
+        "SELECT o_orderkey FROM orders WHERE o_day > 19970231 AND o_day != 19970401 AND 19991340 > o_day OR o_day = 19950230 OR o_day < 19950100 OR o_day = 20000229",
+        f"SELECT o_orderkey FROM orders WHERE {_day('o_orderdate')} > 19970231 AND {_day('o_orderdate')} <> 19970401 AND 19991340 > {_day('o_orderdate')} OR {_day('o_orderdate')} = 20000229",
+    ),
+    "filter_int_by_decimal": Query(
+        "SELECT o_orderkey FROM orders WHERE o_orderkey > 10.5 AND o_orderkey <= 900.0 AND o_custkey != 17.5 OR o_custkey = 30.0 OR 2.5 >= o_orderkey",
+        "SELECT o_orderkey FROM orders WHERE o_orderkey > 10.5 AND o_orderkey <= 900.0 AND o_custkey <> 17.5 OR o_custkey = 30.0 OR 2.5 >= o_orderkey",
+    ),
     "filter_yyyymmdd": Query("SELECT o_orderkey, o_day AS d FROM orders WHERE o_day >= 19970101 AND o_day <= 19971231", f"SELECT o_orderkey, {_day('o_orderdate')} AS d FROM orders WHERE {_day('o_orderdate')} BETWEEN 19970101 AND 19971231"),
     "join_equi": Query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"),
     "join_chain": Query(
@@ -135,7 +143,7 @@ def engine(spark: SparkSession, sf_dir: str, names: Iterable[str] = TABLES) -> E
         if name in DATES:
             source, day = DATES[name]
             date = yyyymmdd(F.col(source))
-            out.register(name, frame.select("*", date.alias(day, metadata={"logical": "DATE32"})), widen=False)
+            out.register(name, frame.select("*", date.alias(day, metadata={**DATE, DAY_OF: source})), widen=False)
         else:
             out.register(name, frame, widen=False)
     return out

@@ -16,6 +16,26 @@ USAGE = "usage: python -m millrace [file.csv] [--sql STATEMENT] [--output-format
 COMMANDS = "LOAD TABLE <name> FROM 'file.csv', SHOW TABLES, DESCRIBE <table>, EXPLAIN <sql>, SELECT <sql>, SET FORMAT <markdown|csv>, EXIT"
 
 
+# What the command line says.
+SAYS = {
+    "no value": "{} requires an argument",
+    "no option": "Unknown option: {}",
+    "many": "Too many positional arguments",
+    "no format": "Unsupported output format '{}'. Use 'markdown' or 'csv'.",
+    "no command": "Unknown command. Available: {}",
+    "not shown": "Unknown command",
+    "error": "Error: {}",
+    "explain": "Syntax: EXPLAIN <sql>",
+    "load": "Syntax: LOAD TABLE <name> FROM 'file.csv'",
+    "loaded": "Loaded table '{}' with {} rows",
+    "no tables": "No tables loaded",
+    "no setting": "Unknown setting",
+    "set": "Syntax: SET FORMAT <markdown|csv>",
+    "format": "Output format set to {}",
+    "file": "Loaded table from {}",
+}
+
+
 class BadArguments(Exception):
     pass
 
@@ -29,19 +49,19 @@ def arguments(argv: list[str]) -> tuple[str | None, str | None, str]:
         if arg in ("--sql", "--output-format"):
             value = next(rest, None)
             if value is None:
-                raise BadArguments(f"{arg} requires an argument")
+                raise BadArguments(SAYS["no value"].format(arg))
             if arg == "--sql":
                 sql = value
             else:
                 form = value.lower()
         elif arg.startswith("--"):
-            raise BadArguments(f"Unknown option: {arg}")
+            raise BadArguments(SAYS["no option"].format(arg))
         elif file is not None:
-            raise BadArguments("Too many positional arguments")
+            raise BadArguments(SAYS["many"])
         else:
             file = arg
     if form not in FORMATS:
-        raise BadArguments(f"Unsupported output format '{form}'. Use 'markdown' or 'csv'.")
+        raise BadArguments(SAYS["no format"].format(form))
     return file, sql, form
 
 
@@ -71,12 +91,12 @@ class Prompt:
         action = getattr(self, f"_{word.lower()}", None) if word in ("LOAD", "SHOW", "DESCRIBE", "EXPLAIN", "SELECT", "SET") else None
         if action is None:
             if word:
-                self.say(f"Unknown command. Available: {COMMANDS}")
+                self.say(SAYS["no command"].format(COMMANDS))
             return True
         try:
             action(line)
         except (EngineError, *SPARK_ERRORS) as e:
-            self.say(f"Error: {e}")
+            self.say(SAYS["error"].format(e))
         return True
 
     def _select(self, line: str) -> None:
@@ -84,21 +104,21 @@ class Prompt:
 
     def _explain(self, line: str) -> None:
         statement = line[len("EXPLAIN") :].strip()
-        self.say(self.engine.explain(statement) if statement else "Syntax: EXPLAIN <sql>")
+        self.say(self.engine.explain(statement) if statement else SAYS["explain"])
 
     def _load(self, line: str) -> None:
         m = re.fullmatch(r"LOAD\s+TABLE\s+(\S+)\s+FROM\s+(?:'([^']*)'|(\S+))", line, re.IGNORECASE)
         if m is None:
-            self.say("Syntax: LOAD TABLE <name> FROM 'file.csv'")
+            self.say(SAYS["load"])
             return
         self.engine.load_csv(m[1], m[2] if m[2] is not None else m[3])
-        self.say(f"Loaded table '{m[1]}' with {self.engine.table(m[1]).count()} rows")
+        self.say(SAYS["loaded"].format(m[1], self.engine.table(m[1]).count()))
 
     def _show(self, line: str) -> None:
         if not re.fullmatch(r"SHOW\s+TABLES", line, re.IGNORECASE):
-            self.say("Unknown command")
+            self.say(SAYS["not shown"])
             return
-        self.say("\n".join(self.engine.tables()) or "No tables loaded")
+        self.say("\n".join(self.engine.tables()) or SAYS["no tables"])
 
     def _describe(self, line: str) -> None:
         self.say(described(self.engine.describe(line[len("DESCRIBE") :].strip())))
@@ -106,14 +126,14 @@ class Prompt:
     def _set(self, line: str) -> None:
         m = re.fullmatch(r"SET\s+(\w+)(?:\s+(\S+))?", line, re.IGNORECASE)
         if m is None or m[1].upper() != "FORMAT":
-            self.say("Unknown setting")
+            self.say(SAYS["no setting"])
         elif m[2] is None:
-            self.say("Syntax: SET FORMAT <markdown|csv>")
+            self.say(SAYS["set"])
         elif m[2].lower() not in FORMATS:
-            self.say(f"Unsupported output format '{m[2].lower()}'. Use 'markdown' or 'csv'.")
+            self.say(SAYS["no format"].format(m[2].lower()))
         else:
             self.form = m[2].lower()
-            self.say(f"Output format set to {self.form}")
+            self.say(SAYS["format"].format(self.form))
 
 
 def main(argv: list[str], stdin: TextIO = sys.stdin, out: TextIO = sys.stdout, err: TextIO = sys.stderr, spark: SparkSession | None = None) -> int:
@@ -132,10 +152,10 @@ def main(argv: list[str], stdin: TextIO = sys.stdin, out: TextIO = sys.stdout, e
             FORMATS[form](engine.sql(sql), out)
             return 0
     except (EngineError, *SPARK_ERRORS) as e:
-        err.write(f"Error: {e}\n")
+        err.write(SAYS["error"].format(e) + "\n")
         return 1
     if file is not None:
-        out.write(f"Loaded table from {file}\n")
+        out.write(SAYS["file"].format(file) + "\n")
     prompt = Prompt(engine, out, form)
     out.write("> ")
     for line in stdin:

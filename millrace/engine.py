@@ -39,6 +39,18 @@ def type_name(field: T.StructField) -> str:
     return {"int": "INT64", "double": "DOUBLE", "text": "STRING"}.get(kind_of(field.dataType), field.dataType.simpleString().upper())
 
 
+def _as_text(field: T.StructField):
+    """A text that is the same for equal values only."""
+    c = quoted(field.name)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        c = F.when(c == 0, F.lit(0).cast(field.dataType)).otherwise(c)  # zero has two signs
+    if isinstance(field.dataType, T.TimestampType):
+        c = F.unix_micros(c)
+    if isinstance(field.dataType, T.BinaryType):
+        c = F.hex(c)
+    return F.to_json(F.struct(c)) if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
+
+
 class Engine:
     """Tables are DataFrames; a statement gives a lazy DataFrame."""
 
@@ -80,17 +92,20 @@ class Engine:
         return sorted(self._tables)
 
     def describe(self, name: str) -> TableInfo:
-        """Row count, and for each column the number of distinct values and the range. Exact
-        distinct counts are one aggregation a column, each on its own column alone."""
+        """Row count, and for each column the number of distinct values and the range: one pass for
+        counts and ranges, one over (column, value) pairs, combined before their shuffle, for exact
+        distinct counts."""
         if name in self._info:
             return self._info[name]
-        frame, columns = self.table(name), []
-        for f in frame.schema:
-            c = quoted(f.name)
-            ranged = kind_of(f.dataType) in ("int", "double")
-            row = frame.agg(F.count_distinct(c), F.min(c), F.max(c)).first() if ranged else (*frame.agg(F.count_distinct(c)).first(), None, None)
-            columns.append(ColumnInfo(f.name, type_name(f), *row))
-        self._info[name] = TableInfo(name, frame.count(), tuple(columns))
+        frame = self.table(name)
+        fields = frame.schema.fields
+        ranged = [i for i, f in enumerate(fields) if kind_of(f.dataType) in ("int", "double")]
+        total, *ranges = frame.agg(F.count(F.lit(1)), *(m(quoted(fields[i].name)) for i in ranged for m in (F.min, F.max))).first()
+        pairs = frame.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _as_text(f).alias("v")) for i, f in enumerate(fields)))).alias("p")).filter("p.v is not null")
+        ndv = {r["i"]: r["count"] for r in pairs.distinct().groupBy("p.i").count().collect()}  # a row a column
+        span = {i: ranges[2 * n : 2 * n + 2] for n, i in enumerate(ranged)}
+        columns = (ColumnInfo(f.name, type_name(f), ndv.get(i, 0), *span.get(i, (None, None))) for i, f in enumerate(fields))
+        self._info[name] = TableInfo(name, total, tuple(columns))
         return self._info[name]
 
     def sql(self, text: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.errors import UnknownName
-from millrace.functions.typed import Typed, kind_of
+from millrace.functions.typed import DAY_OF, Typed, kind_of
 
 
 def quoted(name: str) -> Column:
@@ -26,6 +26,7 @@ class Field:
     name: str
     inner: str
     kind: str
+    day_of: str | None = None
 
 
 @dataclass(frozen=True)
@@ -46,11 +47,12 @@ class Relation:
 
     def column(self, text: str) -> Typed:
         f = self.find(text)
-        return Typed(quoted(f.inner), f.kind)
+        return Typed(quoted(f.inner), f.kind, day_of=quoted(f.day_of) if f.day_of else None)
 
 
 def scan(frame: DataFrame, qualifier: str, number: int) -> Relation:
-    fields = tuple(Field(qualifier, s.name, f"{number}_{i}_{s.name}", kind_of(s.dataType)) for i, s in enumerate(frame.schema))
+    inner = {s.name: f"{number}_{i}_{s.name}" for i, s in enumerate(frame.schema)}
+    fields = tuple(Field(qualifier, s.name, f"{number}_{i}_{s.name}", kind_of(s.dataType), inner.get(s.metadata.get(DAY_OF))) for i, s in enumerate(frame.schema))
     plain = frame.toDF(*(f.inner for f in fields))
     return Relation(plain, fields)
 

@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from millrace import catalogue
+from millrace import catalogue, files
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +28,22 @@ def test_query(spark, duck, data_dir, name):
     assert canonical(map(tuple, frame.collect())) == canonical(expected.fetchall())
 
 
+@pytest.mark.parametrize("name", files.QUERIES)
+def test_query_through_files(spark, duck, data_dir, name):
+    frame = files.QUERIES[name](spark, data_dir)
+    expected = duck.sql(files.ORACLE_SQL[name])
+    assert frame.columns == expected.columns
+    assert canonical(map(tuple, frame.collect())) == canonical(expected.fetchall())
+
+
+def test_day_and_decimal_predicates_reach_the_scan(spark, data_dir):
+    e = catalogue.engine(spark, data_dir)
+    plan = e.explain_physical("SELECT o_orderkey FROM orders WHERE o_day BETWEEN 19970101 AND 19970131 AND o_orderkey > 10.5")
+    pushed = plan.split("PushedFilters")[1].splitlines()[0]
+    assert "GreaterThanOrEqual(o_orderdate,1997-01-01" in pushed and "LessThan(o_orderdate,1997-02-01" in pushed and "GreaterThanOrEqual(o_orderkey,11)" in pushed
+    assert e.sql("SELECT COUNT(*) FROM orders WHERE o_day = 19970101 OR o_day != 19970101").first()[0] == e.table("orders").count()
+
+
 def _expression(r, depth=2):
     if depth == 0 or r.random() < 0.3:
         return r.choice(["o_orderkey", "o_custkey", "o_totalprice", str(r.randint(1, 2000)), f"{r.randint(1, 9)}.5"])
