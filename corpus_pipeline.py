@@ -2,12 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again
 before the next one. All stages but the last return the columns of documents; the last returns
-the packed pieces. An empty table passes through every stage as an empty table.
+the packed pieces with their ids (little-endian unsigned 32-bit). An empty table passes through
+every stage as an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, encoding, jaccard, packing, quality, tables, toxicity
 
@@ -34,8 +36,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs token documents into sequences."""
-    found = packing.pieces(docs, encoding.tokenizer_path("byte_bpe_50k.json"), payload=packing.crc32, payload_type="long")
-    return packing.pack(found).withColumnRenamed("payload", "ids_crc32")
+    found = packing.pieces(docs, encoding.tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(found).withColumnRenamed("payload", "ids").withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
