@@ -11,7 +11,7 @@ takes it away. In roles, backslashes and line breaks are escaped first.
 
 Turns go by turn, role and text; a null turn comes first, null roles and texts count as empty. Repeated
 rows are repeated turns. A conversation streams through one task, turn by turn, in the order of a
-sort that spills; its size isn't bounded by memory. An empty table gives an empty result.
+sort that spills; its size isn't bounded by memory. All rows without a conv_id are one conversation. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -111,6 +111,8 @@ def read_back(formatted: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, first_free = byte_tables(vocabulary)
+        sizes = np.array([*map(len, table), 0])
+        starts, letters = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), np.uint8)
         now, state = None, None
         done: list[tuple] = []
 
@@ -119,22 +121,32 @@ def read_back(formatted: DataFrame, vocabulary: str) -> DataFrame:
                 done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for batch in batches:
-            for conv, ids, mask, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "ids", "mask", "text")), strict=True):
+            ids = batch.column("ids").to_pylist()
+            # Bytes of all ids of the batch at once; reserved ids have none.
+            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+            mask = np.frombuffer(b"".join(batch.column("mask").to_pylist()), np.uint8) == 1
+            known = np.minimum(flat, first_free)
+            size = sizes[known]
+            at = np.concatenate(([0], np.cumsum(size)))
+            spelled = letters[np.repeat(starts[known] - at[:-1], size) + np.arange(at[-1])].tobytes()
+            ends = np.cumsum([len(x) // 4 for x in ids])
+            heads, tails = np.flatnonzero(flat == first_free), np.flatnonzero(flat == first_free + 1)
+            if not (len(heads) == len(tails) == len(ids) == np.count_nonzero(flat >= first_free) // 2) or (heads != np.concatenate(([0], ends[:-1]))[: len(ids)]).any() or (tails < heads).any() or (tails >= ends).any():
+                raise ValueError("a turn isn't framed by its reserved ids")
+            said_at = np.concatenate(([0], np.cumsum(np.where(mask, size, 0))))
+            said = np.frombuffer(spelled, np.uint8)[np.repeat(mask, size)].tobytes()
+            bounds = zip(at[heads].tolist(), at[tails].tolist(), said_at[heads].tolist(), said_at[ends].tolist(), strict=True)
+            for conv, text, (head, tail, first, last) in zip(batch.column("conv_id").to_pylist(), batch.column("text").to_pylist(), bounds, strict=True):
                 if state is None or conv != now:
                     close()
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids = np.frombuffer(ids, "<u4")
-                if ids[0] != first_free or np.count_nonzero(ids >= first_free) != 2:
-                    raise ValueError("a turn isn't framed by its reserved ids")
-                end = int(np.flatnonzero(ids == first_free + 1)[0])
-                role, _, body = b"".join([table[i] for i in ids[1:end].tolist()]).decode("utf-8").partition("\n")
+                role, _, body = spelled[head:tail].decode("utf-8").partition("\n")
                 state[0] += 1
                 state[1].update(f"{unescape_role(role)}\n{unescape(body)}\n".encode())
-                loss = ids[np.frombuffer(mask, np.uint8) == 1]
-                if len(loss):
-                    said = unescape(b"".join([table[i] for i in loss.tolist()]).decode("utf-8"))
-                    state[2] += len(said)
-                    state[3].update(said.encode())
+                if last > first:
+                    own = unescape(said[first:last].decode("utf-8"))
+                    state[2] += len(own)
+                    state[3].update(own.encode())
                 state[4] += len(text)
             if done:
                 yield _digests(done)
