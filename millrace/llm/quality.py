@@ -40,7 +40,7 @@ FOREIGN = 0.3
 
 # Character classes by first byte in UTF-8: 0 other, 1 lower case and Latin beyond ASCII, 2 upper case,
 # 3 digit, 4 space, 5 line break, then one for each ASCII sign, then characters from U+0280 on.
-_CLASS = np.zeros(256, dtype=np.int64)
+_CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = 1
 _CLASS[65:91] = 2
 _CLASS[48:58] = 3
@@ -71,18 +71,19 @@ def statistics(texts: list[str | None], w: textcore.Words) -> np.ndarray:
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(r) for r in raw])
     d = np.frombuffer(b"\0".join(raw) + b"\0", dtype=np.uint8)
+    kind = _CLASS[d]
     ends = np.cumsum(sizes + 1)
     begins = ends - sizes - 1
 
     def per_text(flags: np.ndarray) -> np.ndarray:
-        s = np.concatenate(([0], np.cumsum(flags, dtype=np.int32 if len(flags) < 1 << 31 else np.int64)))
-        return (s[ends] - s[begins]).astype(float)
+        at = np.flatnonzero(flags)
+        return (np.searchsorted(at, ends) - np.searchsorted(at, begins)).astype(float)
 
     counts = w.counts()
     some = np.maximum(counts, 1)
     starts = d & 0xC0 != 0x80  # the first byte of a character
     chars = per_text(starts)
-    letters = np.maximum(per_text(starts & ((_CLASS[d] == 1) | (_CLASS[d] == 2))), 1)
+    letters = np.maximum(per_text(starts & ((kind == 1) | (kind == 2))), 1)
     in_words = per_text(starts & textcore.is_word(w.data))
     length = in_words / some
     foreign = per_text(d >= 0xCA) / np.maximum(in_words, 1)
@@ -90,9 +91,11 @@ def statistics(texts: list[str | None], w: textcore.Words) -> np.ndarray:
     inner = np.maximum(w.offsets[1:] - w.offsets[:-1], 1)
     repeats = (same[w.offsets[1:]] - same[np.minimum(w.offsets[:-1] + 1, w.offsets[1:])]) / inner
     owner = np.repeat(np.arange(n), counts)
-    order = np.lexsort((w.hashes, owner))
-    h, o = w.hashes[order], owner[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1]))) if len(h) else np.zeros(0, bool)
+    # Words apart by text: one sort of mixed hashes, in which equal words of a text are neighbours.
+    code = textcore.mix(w.hashes ^ textcore.mix(owner.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(code)
+    h, o = code[order], owner[order]
+    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
     distinct = np.bincount(o[new], minlength=n) / some
     first = np.flatnonzero(new)
     runs = np.diff(np.concatenate((first, [len(h)])))
@@ -101,7 +104,7 @@ def statistics(texts: list[str | None], w: textcore.Words) -> np.ndarray:
     where = np.minimum(np.searchsorted(_STOP_HASHES, w.hashes), len(_STOP_HASHES) - 1)
     stops = np.bincount(owner, weights=_STOP_HASHES[where] == w.hashes, minlength=n) / some
     return np.stack(
-        [counts, length, per_text(_CLASS[d] == 2) / letters, per_text(_MARKS[d]) / some, per_text(d == 33) / some, per_text(_CLASS[d] == 3) / np.maximum(chars, 1), repeats, distinct, most / some, stops, per_text(d == 10) / some, foreign],
+        [counts, length, per_text(kind == 2) / letters, per_text(_MARKS[d]) / some, per_text(d == 33) / some, per_text(kind == 3) / np.maximum(chars, 1), repeats, distinct, most / some, stops, per_text(d == 10) / some, foreign],
         axis=1,
     )
 
