@@ -1,12 +1,15 @@
 """CSV files, rendering and the command line."""
 
 import io
+import subprocess
+import sys
 
 import pytest
 
 from millrace.cli import main
 from millrace.engine import Engine
 from millrace.errors import DataProblem
+from tests.conftest import ROOT
 
 
 @pytest.fixture
@@ -99,3 +102,12 @@ def test_prompt(spark, csv):
     assert code == 0
     for part in ("No tables loaded", "Loaded table 'p' with 2 rows", "Table: p (2 rows)", "  id INT64 (ndv: 2, min: 1, max: 2)", "  name STRING (ndv: 2)", "name\nAnn\nBo\n", "LogicalScan(table=p, cols=id)", "Error: unknown column x", "Error: table 'q' not found", "Unknown command", "Unsupported output format 'xml'"):
         assert part in out
+
+
+def test_program(csv):
+    """The program as it is started, with a file and with standard input."""
+    path = csv("id,name\n1,Ann\n2,Bo\n")
+    for argv, stdin in (([path], None), ([], "id,name\n1,Ann\n2,Bo\n")):
+        command = [sys.executable, "-m", "millrace", *argv, "--sql", "SELECT name FROM table WHERE id = 2", "--output-format", "csv"]
+        done = subprocess.run(command, input=stdin, capture_output=True, text=True, timeout=300, cwd=ROOT)
+        assert (done.returncode, done.stdout) == (0, "name\nBo\n"), done.stderr[-2000:]
