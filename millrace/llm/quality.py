@@ -32,6 +32,8 @@ from millrace.llm import linear, tables, textcore
 #: Documents that the scorer is fitted on, at most.
 SAMPLE = 8_000
 WIDTH = 1 << 12
+#: Bytes whose features are counted at once.
+_CHUNK = 1 << 21
 #: A labeller calls at most this share of good documents bad, and at least that of its own class. Votes
 #: alone don't tell a kind of bad document that one labeller sees from that labeller's errors; this does.
 MOST_WRONG, LEAST_RIGHT = 0.05, 0.5
@@ -51,7 +53,7 @@ for _i, _c in enumerate("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
 _OTHER_SCRIPT = 6 + 32
 _CLASS[0xCA:] = _OTHER_SCRIPT
 _N = 6 + 32 + 1
-_BUCKET = (textcore.mix(np.arange(_N**3, dtype=np.uint64)) % np.uint64(WIDTH)).astype(np.int64)
+_BUCKET = (textcore.mix(np.arange(_N**3, dtype=np.uint64)) % np.uint64(WIDTH)).astype(np.int32)
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in "#$%&*|<>{}[]\\^~=+@_"]] = True
 
@@ -141,15 +143,19 @@ def hashed(texts: list[str | None], w: textcore.Words, s: np.ndarray) -> tuple[n
     n = len(texts)
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     d = np.frombuffer(b"\n".join(raw) + b"\n\n\n", dtype=np.uint8)
-    starts = np.flatnonzero(d & 0xC0 != 0x80)
-    ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
-    sizes = np.diff(np.concatenate(([0], ends)))
-    c = _CLASS[d[starts]].astype(np.int32)
-    bucket = _BUCKET[((c[:-2] * _N + c[1:-1]) * _N + c[2:])[: ends[-1]]]
-    own_script = c[: ends[-1] + 2] != _OTHER_SCRIPT
-    known = own_script[:-2] & own_script[1:-1] & own_script[2:]
-    owner = np.repeat(np.arange(n), sizes)
-    many = np.bincount(owner[known] * WIDTH + bucket[known], minlength=n * WIDTH)
+    starts = d & 0xC0 != 0x80
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    sizes = np.array([np.count_nonzero(starts[a:b]) for a, b in zip((ends - [len(r) + 1 for r in raw]).tolist(), ends.tolist(), strict=True)])
+    c = _CLASS[d][starts]
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    many = np.zeros(n * WIDTH, np.int64)
+    for a in range(0, len(owner), _CHUNK):
+        own = owner[a : a + _CHUNK]
+        x = c[a : a + len(own) + 2].astype(np.int32)
+        known = x != _OTHER_SCRIPT
+        known = known[:-2] & known[1:-1] & known[2:]
+        bucket = _BUCKET[(x[:-2] * _N + x[1:-1]) * _N + x[2:]]
+        many += np.bincount((own * WIDTH + bucket)[known], minlength=n * WIDTH)
     at = np.flatnonzero(many)
     row, col = at // WIDTH, at % WIDTH
     value = np.sqrt(many[at] / sizes[row])
