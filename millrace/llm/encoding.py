@@ -27,7 +27,8 @@ CACHE_CHARS = 48
 
 _SPACE_THEN_SPACE = re.compile(r" (?!\S)")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-_NOT_LATIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{24f}]"
+# U+0130 has a mark of its own in lower case, at which words are split.
+_NOT_LATIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]"
 
 # Texts in which a space stands before white space, or controls that libraries class differently.
 _SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -137,13 +138,19 @@ class Encoder:
         trimmed = pc.utf8_rtrim(pa.array(low, pa.large_string()), _TAIL)
         one_word = pc.match_substring_regex(trimmed, r"\A ?\pL+\z").to_pylist()
         split = [None if f else self.pattern(p) if not o else [h] if len(h) == len(p) else [h, p[len(h) :]] for p, h, f, o in zip(low, trimmed.to_pylist(), far, one_word, strict=True)]
-        words = self.words
-        new = list(set(chain.from_iterable(x for x in split if x)).difference(words))
-        rare = {}
-        for w, ids in zip(new, self._learn(self.part_tokenizer, new), strict=True):
-            (words if len(w) <= CACHE_CHARS and len(words) < self.cache_words else rare)[w] = ids
-        get = words.get
-        return [other[p] if x is None else b"".join([i if (i := get(w)) is not None else rare[w] for w in x]) for p, x in zip(unknown, split, strict=True)]
+        units = list(set(chain.from_iterable(x for x in split if x)))
+        ids = dict(zip(units, self._units(units), strict=True))
+        return [other[p] if x is None else b"".join([ids[w] for w in x]) for p, x in zip(unknown, split, strict=True)]
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of different texts that the tokenizer's rule doesn't split and its normalizer leaves alone."""
+        out = list(map(self.words.get, units))
+        missing = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(missing, self._learn(self.part_tokenizer, [units[i] for i in missing]), strict=True):
+            out[i] = ids
+            if len(units[i]) <= CACHE_CHARS and len(self.words) < self.cache_words:
+                self.words[units[i]] = ids
+        return out
 
     def lookup(self, parts: list[str]) -> list[bytes]:
         """Ids of each part; new ones are kept while there is room."""
@@ -193,23 +200,53 @@ class Encoder:
         offsets = lists.offsets.to_numpy().astype(np.int64)
         pieces = lists.flatten()
         first = offsets[:-1]
-        coded = pieces.dictionary_encode()
+        space = " " if self.kind == "space-led" else ""
+        # A word of Latin letters is one unit and signs after it another; any other piece is looked up whole.
+        trimmed = pc.utf8_rtrim(pieces, _TAIL)
+        coded = trimmed.dictionary_encode()
+        known = coded.dictionary
+        word = pc.and_(pc.match_substring_regex(known, r"\A\pL+\z"), pc.invert(pc.match_substring_regex(known, _NOT_LATIN))).to_numpy(zero_copy_only=False).astype(bool)
+        names = known.filter(pa.array(word)).to_pylist()
+        if self.normalize is not None:
+            names = [n.lower() for n in names]
+        place = np.cumsum(word) - 1
+        distinct = dict.fromkeys(names)  # several spellings may be one word
+        ids = self._units([space + n for n in distinct])
+        for i, n in enumerate(distinct):
+            distinct[n] = i
+        order = np.fromiter((distinct[n] for n in names), np.int64, len(names))
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        known = coded.dictionary.to_pylist()
-        if self.kind == "space-led":
-            ids = self.lookup([" " + p for p in known])
-            heads = [pieces[int(i)].as_py() for i in first]
-            codes[first] = len(ids) + np.arange(len(heads))
-            ids += self.lookup(heads)
-        else:
-            ids = self.lookup(known)
+        plain = word[codes]
+        both = np.empty((len(codes), 2), np.int64)  # of each piece: its word or whole, and what follows the word
+        both[plain, 0] = order[place[codes[plain]]]
+        tail = pc.subtract(pc.binary_length(pieces), pc.binary_length(trimmed)).to_numpy(zero_copy_only=False) * plain
+        if space:
+            plain[first] = True  # and replaced below
+            tail[first] = 0
+
+        def add(where: np.ndarray, column: int, texts: pa.Array, look) -> None:
+            own = texts.dictionary_encode()
+            both[where, column] = own.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(ids)
+            ids.extend(look(own.dictionary.to_pylist()))
+
+        whole = np.flatnonzero(~plain)
+        add(whole, 0, pieces.take(pa.array(whole)), lambda x: self.lookup([space + p for p in x]))
+        one, more = np.flatnonzero(tail == 1), np.flatnonzero(tail > 1)
+        add(one, 1, pc.utf8_slice_codeunits(pieces.take(pa.array(one)), -1), self._units)
+        ends_with = [p[-n:] for p, n in zip(pieces.take(pa.array(more)).to_pylist(), tail[more].tolist(), strict=True)]
+        add(more, 1, pa.array(ends_with, pa.large_string()), self._units)
+        if space:
+            add(first, 0, pieces.take(pa.array(first)), self.lookup)
+        both[tail == 0, 1] = len(ids)
+        ids.append(b"")
+        codes = both.ravel()
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         start = np.cumsum(sizes) - sizes
         counts = sizes[codes]
         ends = np.concatenate(([0], np.cumsum(counts)))
         out = flat[np.repeat(start[codes] - ends[:-1], counts) + np.arange(ends[-1])]
-        bounds = ends[offsets]
+        bounds = ends[2 * offsets]
         return [b"".join(self.lookup(self.cut(t))) if o else out[a:b].tobytes() for t, o, a, b in zip(texts, odd, bounds[:-1], bounds[1:], strict=True)]
 
 
