@@ -254,4 +254,21 @@ def keep_one(docs: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataF
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classes(docs).select("doc_id", "class_id", F.col("links").alias("n_links"), F.col("texts").alias("n_text_links"), "copy_of", F.col("root").alias("class_key"))
+    return classes(docs).select("doc_id", "class_id", F.col("links").alias("n_links"), F.col("texts").alias("n_text_links"), "copy_of")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT w, min(doc_id) AS copy_of, count(*) AS copies FROM w WHERE len(w) > 0 GROUP BY w),
+g AS (SELECT row_number() OVER () AS k, copy_of, copies, w, list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i : i + 4], ' '))) AS g FROM t),
+u AS (SELECT k, unnest(g) AS s FROM g),
+p AS (SELECT a.k AS x, b.k AS y, count(*) AS n FROM u AS a JOIN u AS b ON a.s = b.s AND a.k < b.k GROUP BY ALL),
+near AS (SELECT x, y FROM p JOIN g AS a ON a.k = x JOIN g AS b ON b.k = y WHERE n >= 0.8 * (len(a.g) + len(b.g) - n) - 1e-9),
+e AS (SELECT x AS a, y AS b FROM near UNION ALL SELECT y, x FROM near),
+reach(a, b) AS (SELECT a, a FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+classes AS (SELECT a AS k, min(copy_of) AS class_id FROM reach JOIN g ON g.k = b GROUP BY a),
+links AS (SELECT e.a AS k, count(*) AS texts, sum(copies) AS docs FROM e JOIN g ON g.k = e.b GROUP BY e.a)
+SELECT doc_id, coalesce(class_id, copy_of, doc_id) AS class_id, CAST(coalesce(docs, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links, coalesce(texts, 0) AS n_text_links, coalesce(copy_of, doc_id) AS copy_of
+FROM w LEFT JOIN g ON g.w = w.w AND len(w.w) > 0 LEFT JOIN classes USING (k) LEFT JOIN links USING (k)
+"""

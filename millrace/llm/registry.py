@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scans": licenses.oracle(),
+    "op4_ngram_jaccard_join": jaccard.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
+    "op7_chat_formatting": chat.ORACLE,
     "op10_exact_topk": topk.ORACLE,
 }

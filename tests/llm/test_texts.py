@@ -496,3 +496,13 @@ def test_repeated_passages_are_bad_at_any_length(n):
     good = " ".join(f"w{int(abs(x))}" for x in np.random.default_rng(0).zipf(1.3, n) % 10**6)
     assert quality.votes(quality.statistics([junk, good], textcore.words([junk, good])))[:, 4].tolist()[0] == 0
     assert quality.votes(quality.statistics([good], textcore.words([good])))[0, 4] != 0
+
+
+@pytest.mark.parametrize("name", registry.ORACLE_SQL)
+def test_query_against_sql(spark, data_dir, name):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data_dir}/{t}.parquet'")
+    got, said = registry.QUERIES[name](spark, data_dir), c.sql(registry.ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(said.columns)
+    assert sorted(map(tuple, got.select(said.columns).collect()), key=str) == sorted(said.fetchall(), key=str)
