@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of a worker process's two caches, of parts and of words in them (about 200 bytes each),
 #: and characters of the longest part kept.
-CACHE_PARTS = 150_000
+CACHE_PARTS = 60_000
 CACHE_WORDS = 400_000
 CACHE_CHARS = 48
 
@@ -215,9 +215,9 @@ class Encoder:
         for i, n in enumerate(distinct):
             distinct[n] = i
         order = np.fromiter((distinct[n] for n in names), np.int64, len(names))
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
         plain = word[codes]
-        both = np.empty((len(codes), 2), np.int64)  # of each piece: its word or whole, and what follows the word
+        both = np.empty((len(codes), 2), np.int32)  # of each piece: its word or whole, and what follows the word
         both[plain, 0] = order[place[codes[plain]]]
         tail = pc.subtract(pc.binary_length(pieces), pc.binary_length(trimmed)).to_numpy(zero_copy_only=False) * plain
         if space:
@@ -226,7 +226,7 @@ class Encoder:
 
         def add(where: np.ndarray, column: int, texts: pa.Array, look) -> None:
             own = texts.dictionary_encode()
-            both[where, column] = own.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(ids)
+            both[where, column] = own.indices.to_numpy(zero_copy_only=False) + len(ids)
             ids.extend(look(own.dictionary.to_pylist()))
 
         whole = np.flatnonzero(~plain)
@@ -240,12 +240,14 @@ class Encoder:
         both[tail == 0, 1] = len(ids)
         ids.append(b"")
         codes = both.ravel()
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         start = np.cumsum(sizes) - sizes
         counts = sizes[codes]
         ends = np.concatenate(([0], np.cumsum(counts)))
-        out = flat[np.repeat(start[codes] - ends[:-1], counts) + np.arange(ends[-1])]
+        out = np.arange(ends[-1], dtype=np.int32 if ends[-1] < 1 << 31 else np.int64)
+        out += np.repeat((start[codes] - ends[:-1]).astype(out.dtype), counts)
+        out = flat[out]
         bounds = ends[2 * offsets]
         return [b"".join(self.lookup(self.cut(t))) if o else out[a:b].tobytes() for t, o, a, b in zip(texts, odd, bounds[:-1], bounds[1:], strict=True)]
 

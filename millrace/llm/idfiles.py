@@ -135,7 +135,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int | None =
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in textcore.batches(texts, 4_000_000):
+            for a, b in textcore.batches(texts, 3_000_000):
                 for doc_id, ids in zip(doc_ids[a:b], enc.encode(texts[a:b]), strict=True):
                     ids += tail
                     if held and size + len(ids) // 4 > file_ids:

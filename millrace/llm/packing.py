@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = SE
         full = (task.partitionId() if task else 0) << 36  # round 0 of the numbering
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in textcore.batches(texts, 4_000_000):
+            for a, b in textcore.batches(texts, 3_000_000):
                 rows = []
                 for doc_id, ids in zip(doc_ids[a:b], enc.encode(texts[a:b]), strict=True):
                     ids += tail
