@@ -207,14 +207,17 @@ class Encoder:
         known = coded.dictionary
         word = pc.and_(pc.match_substring_regex(known, r"\A\pL+\z"), pc.invert(pc.match_substring_regex(known, _NOT_LATIN))).to_numpy(zero_copy_only=False).astype(bool)
         names = known.filter(pa.array(word)).to_pylist()
-        if self.normalize is not None:
-            names = [n.lower() for n in names]
         place = np.cumsum(word) - 1
-        distinct = dict.fromkeys(names)  # several spellings may be one word
-        ids = self._units([space + n for n in distinct])
-        for i, n in enumerate(distinct):
-            distinct[n] = i
-        order = np.fromiter((distinct[n] for n in names), np.int64, len(names))
+        order = np.arange(len(names))
+        if self.normalize is not None:  # several spellings may be one word
+            names = [n.lower() for n in names]
+            distinct = dict(zip(names, order.tolist(), strict=True))
+            ids = self._units(list(distinct))
+            for i, n in enumerate(distinct):
+                distinct[n] = i
+            order = np.fromiter(map(distinct.__getitem__, names), np.int64, len(names))
+        else:
+            ids = self._units([space + n for n in names])
         codes = coded.indices.to_numpy(zero_copy_only=False)
         plain = word[codes]
         both = np.empty((len(codes), 2), np.int32)  # of each piece: its word or whole, and what follows the word

@@ -13,8 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch of rows on its way to a Python worker, where the session has no value of its own:
+#: rows of long texts, blocks and id lists would else fill an executor's memory beside its heap.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if not spark.sparkContext.getConf().contains(_BATCH) and spark.conf.get(_BATCH, "") == "67108864b":
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,6 +81,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: its lineage ends there, and a
     lost executor costs only the tasks that it ran."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -84,6 +97,7 @@ def done_with(df: DataFrame) -> None:
 
 def wrapped(docs: DataFrame) -> DataFrame:
     """doc_id, text and all other columns as one struct, so that no name can clash."""
+    bound_batches(docs.sparkSession)
     other = [c for c in docs.columns if c not in ("doc_id", "text")]
     return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in other)).alias("rest") if other else F.struct(F.lit(0).alias("none")).alias("rest"))
 

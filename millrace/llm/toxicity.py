@@ -316,7 +316,7 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, chosen, w, b = shared.value
         restorer = Restorer(lm)
-        weight = np.zeros(BUCKETS)
+        weight = np.zeros(BUCKETS, np.float32)
         weight[chosen] = w
         wanted = np.zeros(BUCKETS, bool)
         wanted[chosen] = True
