@@ -20,7 +20,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    if not spark.sparkContext.getConf().contains(_BATCH) and spark.conf.get(_BATCH, "") == "67108864b":
+    if not spark.sparkContext.getConf().contains(_BATCH) and spark.conf.get(_BATCH) == "67108864b":
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
