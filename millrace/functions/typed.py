@@ -2,7 +2,7 @@
 
 Kinds: int (64-bit integers, dates as yyyymmdd and smaller integers), double, text, flag (the
 outcome of a comparison, 0 or 1 as a number) and other (types that can be shown but not computed
-with). NULL operands give NULL.
+with). NULL operands give NULL, but a zero divisor decides alone, also under a NULL.
 """
 
 from __future__ import annotations
@@ -75,8 +75,8 @@ def integer_quotient(a: Column, b: Column) -> Column:
 
 
 def double_quotient(a: Column, b: Column) -> Column:
-    """Positive infinity for a zero divisor, whatever the dividend."""
-    return F.when((b == 0) & a.isNotNull(), F.lit(float("inf"))).otherwise(a / b)
+    """Positive infinity for a zero divisor, whatever the dividend, NULL too."""
+    return F.when(b == 0, F.lit(float("inf"))).otherwise(a / b)
 
 
 def arithmetic(op: str, left: Typed, right: Typed) -> Typed:

@@ -40,6 +40,16 @@ def test_unrounded_values(spark, duck, data_dir, name):
         assert all(x == pytest.approx(y, rel=1e-12) if isinstance(x, float) else x == y for x, y in zip(a, b, strict=True))
 
 
+def test_double_quotients_of_nulls_and_zeros(spark, tmp_path):
+    values = ["NULL", "0.0", "-0.0", "'nan'", "'inf'", "'-inf'", "5.0", "-5.0"]
+    rows = ", ".join(f"({i}, {j}, {a}::DOUBLE, {b}::DOUBLE, TIMESTAMP '2000-01-01')" for i, a in enumerate(values) for j, b in enumerate(values))
+    c = duckdb.connect()
+    c.execute(f"CREATE TABLE lineitem AS SELECT * FROM (VALUES {rows}) t(l_orderkey, l_linenumber, l_quantity, l_discount, l_shipdate)")
+    c.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    got = catalogue.QUERIES["double_div_zero_inf"](spark, str(tmp_path)).collect()
+    assert canonical(map(tuple, got)) == canonical(c.sql(catalogue.ORACLE_SQL["double_div_zero_inf"]).fetchall())
+
+
 @pytest.mark.parametrize("name", files.QUERIES)
 def test_query_through_files(spark, duck, data_dir, name):
     frame = files.QUERIES[name](spark, data_dir)
